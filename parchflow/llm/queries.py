@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchflow.llm import boilerplate, encoding, leakage, mixing, normal, residue
+from parchflow.llm import boilerplate, encoding, language, leakage, mixing, normal, prose, residue, scan
 from parchflow.runtime import table
 
 
@@ -17,11 +17,17 @@ def _t(name: str) -> Callable[[SparkSession, str], DataFrame]:
 blocks, structures, documents = _t("blocks"), _t("structures"), _t("documents")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": lambda s, d: prose.not_prose(blocks(s, d), structures(s, d)),
+    "p1_statistics": lambda s, d: prose.statistics(blocks(s, d), structures(s, d), table(s, d, "quality_reports")),
+    "p2_found": lambda s, d: scan.noise(blocks(s, d), structures(s, d)),
+    "p2_paragraphs": lambda s, d: scan.paragraphs(blocks(s, d), structures(s, d)),
     "p3_found": lambda s, d: normal.lookalike_pairs(blocks(s, d)),
     "p3_normalized": lambda s, d: normal.normalize(blocks(s, d)).distinct(),
     "p4_found": lambda s, d: boilerplate.repeated_lines(blocks(s, d)),
     "p4_blocks": lambda s, d: boilerplate.boilerplate_blocks(blocks(s, d)),
     "p4_clean": lambda s, d: boilerplate.without_repeated(blocks(s, d)),
+    "p5_found": lambda s, d: language.unlabelled(blocks(s, d), structures(s, d), table(s, d, "ocr_engines")),
+    "p5_documents": lambda s, d: language.document_languages(blocks(s, d), structures(s, d), table(s, d, "ocr_engines")),
     "p6_found": lambda s, d: encoding.garbled(blocks(s, d)),
     "p6_restored": lambda s, d: encoding.restored(blocks(s, d)).distinct(),
     "p7_found": lambda s, d: leakage.leaked(documents(s, d), table(s, d, "eval_items")),
