@@ -7,9 +7,12 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Rows up to which a counted table may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -74,3 +77,14 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str,
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def string_udf(fn: Callable[[str | None], str | None]) -> Callable[[Column], Column]:
+    """An Arrow function of one string column; the package is sent to the executors of the active session."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(fn)
+
+    return pandas_udf(run, StringType())
