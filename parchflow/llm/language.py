@@ -3,7 +3,7 @@
 Character trigrams of a sentence, weighted by TF-IDF and normalised, are compared by cosine with several clustered
 centroids of each language; a sentence too far from all of them has none. The centroids are fitted once on at most
 SAMPLE_BLOCKS blocks whose documents bear a plain label (the documented bound of a classifier's training sample);
-sentences whose label disagrees with the nearest mean of all labels are left out before clustering.
+sentences whose label disagrees with the nearest mean of all labels are left out before clustering, repeated ones count once.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from parchflow.runtime import arrow_map
 
 SAMPLE_BLOCKS = 6_000
 BUCKETS = 8192  # of hashed trigrams
-CLUSTERS = 3
+CLUSTERS, ROUNDS = 3, 8
 REJECT = 0.10  # cosine below which a sentence has no language
 MIN_WORDS = 6
 
@@ -107,7 +108,7 @@ def sentences(texts: list[str], least: int = MIN_WORDS, ended: bool = True) -> S
     name = (b.cls[begin] == UPPER) & (end - begin > 1) & (b.cls[np.minimum(begin + 1, len(seg) - 1)] == LOWER)
     if len(begin):
         name[np.append(True, np.diff(seg[begin]) > 0)] = False
-        name &= (np.bincount(seg[begin[~name]], minlength=n) >= 3)[seg[begin]]
+        name &= (np.bincount(seg[begin[~name & (end - begin > 1)]], minlength=n) >= 3)[seg[begin]]
         span = np.zeros(len(seg) + 1, np.int8)
         span[begin[name]] += 1
         span[end[name]] -= 1
@@ -175,53 +176,66 @@ class Model:
         return np.where(c >= REJECT, top, -1), c, c - second
 
 
-def _vectors(s: Sentences, idf: np.ndarray) -> np.ndarray:
-    v = np.bincount(s.of * BUCKETS + s.gram, minlength=s.n * BUCKETS).reshape(s.n, BUCKETS).astype(np.float32) * idf.astype(np.float32)
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+def _mean(s: Sentences, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The mean direction of some sentences' unit vectors; weight is that of each trigram in them."""
+    pick = rows[s.of]
+    v = np.bincount(s.gram[pick], weights=weight[pick], minlength=BUCKETS)
+    return v / max(float(np.linalg.norm(v)), 1e-9)
+
+
+def _distinct(s: Sentences, most: int) -> Sentences:
+    """The first `most` sentences with different trigrams: what is repeated from text to text, but for names, counts once."""
+    key = np.bincount(s.of, weights=np.sqrt(s.gram + 1.0), minlength=s.n)
+    first = np.sort(np.unique(key, return_index=True)[1])[:most]
+    number = np.full(s.n, -1)
+    number[first] = np.arange(len(first))
+    pick = number[s.of] >= 0
+    return Sentences(s.row[first], s.size[first], number[s.of[pick]], s.gram[pick], len(first))
 
 
 def fit(rows: list[tuple[str, str]], languages: list[str], per_language: int = 1_500, seed: int = 7) -> Model:
-    """Fit on (text, language) rows; of each language its first per_language sentences, and the samples of prose."""
+    """Fit on (text, language) rows; of each language its first per_language different sentences, and the samples of prose.
+
+    Vectors are never laid out in full: sums over trigrams give the means, gathers from the centroids the cosines.
+    """
     texts: dict[str, list[str]] = {x: [] for x in languages}
     for t, x in rows:
-        if x in texts:
+        if x in texts and len(texts[x]) < per_language:
             texts[x].append(body(t))
     for x, t in SAMPLES["prose"].items():
         if x[:3] in texts:
             texts[x[:3]].insert(0, t)
-    texts = {x: t for x, t in texts.items() if t}
     parts = {}
     for x, t in texts.items():
-        s = sentences(t)
-        n = min(s.n, per_language)
-        parts[x] = Sentences(s.row[:n], s.size[:n], s.of[s.of < n], s.gram[s.of < n], n)
+        if (s := _distinct(sentences(t), per_language)).n:
+            parts[x] = s
     df = np.zeros(BUCKETS)
-    total = 0
     for s in parts.values():
         df += np.bincount(np.unique(s.of * BUCKETS + s.gram) % BUCKETS, minlength=BUCKETS)
-        total += s.n
-    idf = np.log((1 + total) / (1 + df)) + 1
-    vec = {x: _vectors(s, idf) for x, s in parts.items()}
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-9)
-    names = list(vec)
-    means = unit(np.array([v.mean(0) for v in vec.values()]))
-    for _ in range(3):  # labels that disagree with the nearest mean don't count
-        kept = [v[(v @ means.T).argmax(1) == i] for i, v in enumerate(vec.values())]
-        means = unit(np.array([k.mean(0) if len(k) else means[i] for i, k in enumerate(kept)]))
+    idf = np.log((1 + sum(s.n for s in parts.values())) / (1 + df)) + 1
+    if not parts:
+        return Model(idf, np.zeros((BUCKETS, 1), np.float32), ["und"])
     rng = np.random.default_rng(seed)
+    names = list(parts)
+    weight = {x: idf[s.gram] / np.maximum(norms(s, idf), 1e-9)[s.of] for x, s in parts.items()}
+    table = lambda c: (np.array(c).T * idf[:, None]).astype(np.float32)
+    kept = {x: np.ones(s.n, bool) for x, s in parts.items()}
+    means = [_mean(s, weight[x], kept[x]) for x, s in parts.items()]
+    for _ in range(3):  # labels that disagree with the nearest mean don't count
+        kept = {x: dots(s, table(means)).argmax(1) == i for i, (x, s) in enumerate(parts.items())}
+        means = [_mean(s, weight[x], kept[x]) if kept[x].any() else means[i] for i, (x, s) in enumerate(parts.items())]
     centroids, of = [], []
-    for i, (x, k) in enumerate(zip(names, kept)):
-        if len(k) < 10 * CLUSTERS:
-            centroids.append(means[i])
-            of.append(x)
-            continue
-        c = k[rng.choice(len(k), CLUSTERS, replace=False)]
-        for _ in range(8):
-            near = (k @ c.T).argmax(1)
-            c = unit(np.array([k[near == j].mean(0) if (near == j).any() else c[j] for j in range(CLUSTERS)]))
-        centroids.extend(c)
-        of.extend([x] * CLUSTERS)
-    return Model(idf, (np.array(centroids).T * idf[:, None]).astype(np.float32), of)
+    for i, x in enumerate(names):
+        s, ids = parts[x], np.flatnonzero(kept[x])
+        c = [means[i]]
+        if len(ids) >= 10 * CLUSTERS:
+            c = [_mean(s, weight[x], np.arange(s.n) == k) for k in rng.choice(ids, CLUSTERS, replace=False)]
+            for _ in range(ROUNDS):
+                near = np.where(kept[x], dots(s, table(c)).argmax(1), -1)
+                c = [_mean(s, weight[x], near == j) for j in range(len(c)) if (near == j).any()]
+        centroids += c
+        of += [x] * len(c)
+    return Model(idf, table(centroids), of) if of else Model(idf, np.zeros((BUCKETS, 1), np.float32), ["und"])
 
 
 def available(engines: DataFrame) -> list[str]:
@@ -246,7 +260,7 @@ def train(blocks: DataFrame, structures: DataFrame, engines: DataFrame) -> Model
     every = max(1, -(-n // SAMPLE_BLOCKS))
     part = blocks.where(F.pmod(F.xxhash64(F.col("block_id").cast("long")), F.lit(every)) == 0).where("raw_text is not null").select("doc_id", "raw_text")
     rows = part.join(labels(structures).where(F.size("langs") == 1), "doc_id").select("raw_text", F.col("langs")[0].alias("x")).limit(2 * SAMPLE_BLOCKS).collect()
-    return fit([(r.raw_text, r.x) for r in sorted(rows)], available(engines))
+    return fit([(r.raw_text, r.x) for r in sorted(rows, key=lambda r: xxhash.xxh3_64_intdigest(r.raw_text))], available(engines))
 
 
 def segments(blocks: DataFrame, model: Model) -> DataFrame:
