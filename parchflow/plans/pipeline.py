@@ -20,6 +20,7 @@ from parchflow.functions.text import clean_text, strip, text_of
 from parchflow.operators import layout, links, ocr, quality
 from parchflow.operators.blocks import build_markdown, classify_documents
 from parchflow.options import check_dpi, export_formats
+from parchflow.runtime import cut
 from parchflow.sinks import with_html
 
 PAGE_ROWS = 1 << 20  # places of a page in block_ord
@@ -69,10 +70,10 @@ class Pipeline:
 
     def blocks(self, t: dict[str, DataFrame]) -> DataFrame:
         """Blocks of all documents by the strategy of each, in reading order, classified."""
-        s = self.strategies(t)
+        s = cut(self.strategies(t))
         native = self.native_blocks(t).join(s.where(F.col("strategy") == fixed.NATIVE).select("doc_id"), "doc_id", "left_semi")
         scanned = self.ocr_blocks(t).join(s.where(F.col("strategy") == fixed.OCR).select("doc_id"), "doc_id", "left_semi")
-        both = native.unionByName(scanned)
+        both = cut(native.unionByName(scanned))  # read again for the order and by the steps after it
         order = layout.sort_blocks(both)
         both = both.join(order, ["doc_id", "page_number", "block_no"])
         both = both.withColumns({"block_ord": F.col("page_number").cast("long") * PAGE_ROWS + F.col("page_ord"), "block_type": F.when(F.col("is_table"), "table").otherwise("paragraph"), "heading_level": F.lit(0)})
@@ -80,7 +81,7 @@ class Pipeline:
 
     def run(self, t: dict[str, DataFrame]) -> DataFrame:
         """(doc_id, source_path, strategy, total_pages, markdown[, html]) of every row of documents; one without text is empty."""
-        md = build_markdown(self.blocks(t))
+        md = build_markdown(cut(self.blocks(t)))
         out = t["documents"].join(self.strategies(t), "doc_id").join(md, "doc_id", "left")
         out = out.select("doc_id", "source_path", "strategy", F.coalesce("n_pages", F.lit(0)).alias("total_pages"), F.coalesce("markdown", F.lit("")).alias("markdown"))
         return with_html(out, self.lang) if {"html", "html5"} & set(self.formats) else out
