@@ -70,7 +70,7 @@ def _plausible(span: str, page: str, raw: str) -> bool:
     if page in ("cp1251", "koi8_r", "cp866"):
         # one pair of Cyrillic letter and mark or space is common in Russian text
         return all(c in POSSIBLE or c in LOWER_MARKS or c in to_byte("cp1252") for c in span) and any(c.isalpha() or c in "–—“”’" for c in span) and not re.fullmatch("[А-Яа-яё][\xa0«»]", raw)
-    if page != "cp1252" and len(span) < 3 and raw.isalpha():
+    if page != "cp1252" and len(span) < 3 and raw.isalpha() and any("Ѐ" <= c <= "ӿ" for c in span):
         return False
     return all(c in POSSIBLE or c in to_byte("cp1252") or c in to_byte("mac_roman") or c in to_byte("cp850") or c in to_byte("cp437") for c in span)
 

@@ -109,7 +109,9 @@ def canonical(text: str | None) -> str | None:
     """The one form of text; null stays null. Texts that look alike get the same form."""
     if not text or (text.isascii() and _ASCII_OK(text)):
         return text
-    return transducer().sub(_form, text)
+    form = transducer().sub(_form, text)
+    # sequences that compose without a mark of MARKS: syllable blocks and vowel signs of other scripts
+    return form if unicodedata.is_normalized("NFC", form) else unicodedata.normalize("NFC", form)
 
 
 LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
