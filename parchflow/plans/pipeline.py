@@ -68,9 +68,9 @@ class Pipeline:
         b = ocr.word_blocks(w, scale=self.dpi / 72)
         return b.select("doc_id", "page_number", F.col("first_idx").alias("block_no"), F.lit(False).alias("is_table"), "raw_text", "normalized_text", *_BOX)
 
-    def blocks(self, t: dict[str, DataFrame]) -> DataFrame:
+    def blocks(self, t: dict[str, DataFrame], strategies: DataFrame | None = None) -> DataFrame:
         """Blocks of all documents by the strategy of each, in reading order, classified."""
-        s = cut(self.strategies(t))
+        s = strategies if strategies is not None else cut(self.strategies(t))
         native = self.native_blocks(t).join(s.where(F.col("strategy") == fixed.NATIVE).select("doc_id"), "doc_id", "left_semi")
         scanned = self.ocr_blocks(t).join(s.where(F.col("strategy") == fixed.OCR).select("doc_id"), "doc_id", "left_semi")
         both = cut(native.unionByName(scanned))  # read again for the order and by the steps after it
@@ -81,8 +81,9 @@ class Pipeline:
 
     def run(self, t: dict[str, DataFrame]) -> DataFrame:
         """(doc_id, source_path, strategy, total_pages, markdown[, html]) of every row of documents; one without text is empty."""
-        md = build_markdown(cut(self.blocks(t)))
-        out = t["documents"].join(self.strategies(t), "doc_id").join(md, "doc_id", "left")
+        s = cut(self.strategies(t))
+        md = build_markdown(cut(self.blocks(t, s)))
+        out = t["documents"].join(s, "doc_id").join(md, "doc_id", "left")
         out = out.select("doc_id", "source_path", "strategy", F.coalesce("n_pages", F.lit(0)).alias("total_pages"), F.coalesce("markdown", F.lit("")).alias("markdown"))
         return with_html(out, self.lang) if {"html", "html5"} & set(self.formats) else out
 
