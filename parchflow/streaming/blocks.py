@@ -22,7 +22,7 @@ def cleaned(stream: DataFrame) -> DataFrame:
 
 def arrivals(stream: DataFrame, delay: str = "14 days", width: str = "1 day") -> DataFrame:
     """Blocks, distinct documents and characters by day of arrival; rows later than `delay` are left out."""
-    s = stream.withWatermark("arrived_at", delay)
+    s = stream.withColumn("arrived_at", F.col("arrived_at").cast("timestamp")).withWatermark("arrived_at", delay)
     return s.groupBy(F.window("arrived_at", width)).agg(F.count("*").alias("blocks"), F.approx_count_distinct("doc_id").alias("documents"), F.sum(F.length("raw_text")).alias("chars"))
 
 
