@@ -55,7 +55,7 @@ class Pipeline:
         b = layout.outside_tables(b, tables)
         b = b.withColumns({"raw_text": F.col("text"), "normalized_text": strip(normalize_line_breaks(clean_text(F.col("text"))))})
         if "words_raw" in t and "links_raw" in t:
-            b = links.apply_links(b, links.word_links(t["words_raw"], t["links_raw"]))
+            b = links.apply_links(b, cut(links.word_links(t["words_raw"], t["links_raw"])))
         cols = ("doc_id", "page_number", "block_no", "is_table", "raw_text", "normalized_text", *_BOX)
         b = b.withColumns({c: F.bround(c, 2) for c in _BOX} | {"is_table": F.lit(False)}).select(*cols)
         md = strip(F.col("markdown"))

@@ -485,6 +485,31 @@ query(
 )(lambda s, d: B.simple_markdown(distinct_blocks(s, d)))
 query("markdown_as_typed")(lambda s, d: B.build_markdown(distinct_blocks(s, d)))
 
+# --- the same over the whole texts of blocks; those that came as tables stay tables
+
+_WHOLE = "sh AS (SELECT block_id, doc_id, block_ord, coalesce(nullif(normalized_text, ''), raw_text, '') AS raw_text FROM b)"
+_WHOLE_SMOOTH = (
+    _SMOOTH.replace("sm AS (", "s0 AS (", 1)
+    + """, sm AS (SELECT s0.block_id, s0.doc_id, s0.block_ord, s0.raw_text, CASE WHEN b.block_type = 'table' THEN 'table' ELSE s0.block_type END AS block_type,
+  CASE WHEN b.block_type = 'table' THEN coalesce(b.heading_level, 0) ELSE s0.heading_level END AS heading_level FROM s0 JOIN b USING (block_id))"""
+)
+
+
+def whole(s: SparkSession, d: str) -> DataFrame:
+    return distinct_blocks(s, d).select("block_id", "doc_id", "block_ord", "block_type", "heading_level", "raw_text", "normalized_text")
+
+
+query("classify_text_blocks", f"WITH {_B}, {_WHOLE}, {_CLASSED} SELECT block_id, block_type, heading_level FROM kl")(lambda s, d: B.classify(whole(s, d)).select("block_id", "block_type", "heading_level"))
+query("smooth_text", f"WITH {_B}, {_WHOLE}, {_CLASSED}, {_WHOLE_SMOOTH} SELECT block_id, block_type, heading_level FROM sm")(lambda s, d: B.classify_documents(whole(s, d)).select("block_id", "block_type", "heading_level"))
+query("code_islands_text", f"WITH {_B}, {_WHOLE}, {_CLASSED}, {_WHOLE_SMOOTH}, {_ISLANDS} SELECT block_id, island FROM ir")(lambda s, d: B.code_islands(B.classify_documents(whole(s, d))).select("block_id", "island"))
+query(
+    "markdown_text",
+    f"""WITH {_B}, {_WHOLE}, {_CLASSED}, {_WHOLE_SMOOTH}, {_ISLANDS},
+    pt AS (SELECT doc_id, island, min(block_ord) AS o, '```' || chr(10) || {_strip("string_agg(" + _strip('raw_text') + ", chr(10) ORDER BY block_ord)")} || chr(10) || '```' AS m FROM ir WHERE loose GROUP BY doc_id, island
+      UNION ALL SELECT doc_id, island, block_ord, CASE WHEN block_type = 'code_block' THEN {_strip('raw_text')} WHEN block_type = 'table' THEN {_fmt_table('raw_text')} ELSE {_MD_BLOCK} END FROM ir WHERE NOT loose)
+    SELECT d.doc_id, coalesce(string_agg(m, chr(10) || chr(10) ORDER BY o) FILTER (m <> ''), '') AS markdown FROM (SELECT DISTINCT doc_id FROM b) d LEFT JOIN pt USING (doc_id) GROUP BY d.doc_id""",
+)(lambda s, d: B.build_markdown(B.classify_documents(whole(s, d))))
+
 # --- HTML and names
 
 query("html_title", """SELECT DISTINCT doc_id, replace(replace(replace(replace(replace(coalesce(title, 'Documento'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS title FROM structures""")(
@@ -518,13 +543,22 @@ query("result_faults", "SELECT DISTINCT result_id, NOT (pages_processed >= 0 AND
 # --- the whole pipeline
 
 
+def page_words(s: SparkSession, d: str) -> DataFrame:
+    """The words of blocks outside tables, each with its share of the box of its block."""
+    b = distinct_blocks(s, d).where("block_type <> 'table'").withColumn("ls", F.split("raw_text", "\n"))
+    ln = b.select("doc_id", "page_number", F.col("block_id").alias("block_no"), "x0", "x1", "y0", ((F.col("y1") - F.col("y0")) / F.size("ls")).alias("h"), F.posexplode("ls").alias("line_no", "line"))
+    ln = ln.withColumn("ws", F.filter(F.split("line", " "), lambda w: w != "")).withColumn("w", (F.col("x1") - F.col("x0")) / F.size("ws"))
+    wd = ln.select("doc_id", "page_number", "block_no", "line_no", "x0", "y0", "w", "h", F.posexplode("ws").alias("word_no", "word"))
+    return wd.selectExpr("doc_id", "page_number", "block_no", "line_no", "word_no", "x0 + word_no * w x0", "y0 + line_no * h y0", "x0 + (word_no + 1) * w x1", "y0 + (line_no + 1) * h y1", "word")
+
+
 def decoded_tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The tables a decoder would give, made of blocks: native text, tables, and OCR words."""
+    """The tables a decoder would give, made of blocks: native text, its words, links, tables, and OCR words."""
     b = distinct_blocks(s, d)
     docs = table(s, d, "structures").groupBy("doc_id").agg(F.min("source_path").alias("source_path"), F.max("total_pages").alias("n_pages"))
     raw = b.where("block_type <> 'table'").select("doc_id", "page_number", F.col("block_id").alias("block_no"), F.lit(0).alias("kind"), "x0", "y0", "x1", "y1", F.col("raw_text").alias("text"))
     tabs = b.where("block_type = 'table'").select("doc_id", "page_number", F.col("block_ord").alias("table_no"), "x0", "y0", "x1", "y1", F.col("raw_text").alias("markdown"))
-    return {"documents": docs, "pages": pages(s, d), "blocks_raw": raw, "tables_raw": tabs, "ocr_words": ocr_words(s, d)}
+    return {"documents": docs, "pages": pages(s, d), "blocks_raw": raw, "tables_raw": tabs, "words_raw": page_words(s, d), "links_raw": box_words(s, d)[1], "ocr_words": ocr_words(s, d)}
 
 
 query("pipeline")(lambda s, d: Pipeline(formats=("md",)).run(decoded_tables(s, d)))
@@ -533,4 +567,4 @@ query("pipeline_html")(lambda s, d: Pipeline(formats=("md", "html")).run(decoded
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
     """Markdown of each document, from raw lines through classification, smoothing and code islands."""
-    return QUERIES["markdown_doc"](spark, root)
+    return QUERIES["markdown_text"](spark, root)
