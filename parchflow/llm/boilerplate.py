@@ -1,15 +1,16 @@
 """Problem 4: lines repeated across the documents of one site.
 
-Lines are nodes, keyed by site and letters; consecutive lines are edges. Nodes and edges are weighted by the
+Lines are nodes, keyed by site and letters; lines that follow each other in a document are edges. Nodes and edges are weighted by the
 number of distinct documents; what has high support is kept, connected components of it are the boilerplate
 blocks, and matching occurrences are deleted from each text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchflow.operators.sequences import neighbours
 from parchflow.runtime import cut, small
 
 MIN_LETTERS, MIN_DOCS, MIN_SHARE = 12, 3, 0.25
@@ -42,21 +43,35 @@ def occurrences(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
     return lines(blocks).join(small(nodes), ["site", "h"])
 
 
-def repeated_lines(blocks: DataFrame, **limits) -> DataFrame:
-    """Distinct (block_id, line_no) of the lines that repeat within their site."""
-    return occurrences(blocks, cut(support(blocks, **limits))).select("block_id", "line_no").distinct()
+def edges(blocks: DataFrame, nodes: DataFrame, seen: DataFrame) -> DataFrame:
+    """(site, h, h2): kept edges between kept nodes that follow each other in a document. Its lines run on over blocks and pages in
+    block_ord; lines too short to be nodes are skipped. An edge is kept if half of the documents of its rarer node have it.
 
+    Of each block only the numbers of its first and last line are put in order, so that texts aren't moved.
+    """
+    ends = lines(blocks).groupBy("site", "doc_id", "block_id").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
+    place = blocks.where("block_ord is not null and site is not null").select("site", "doc_id", "block_id", F.col("block_ord").cast("long").alias("block_ord")).dropDuplicates(["site", "doc_id", "block_id"])
+    ends = cut(ends.join(place, ["site", "doc_id", "block_id"]).dropDuplicates(["doc_id", "block_ord"]))
+    over = neighbours(ends, "doc_id", "block_ord", {"site": F.col("site"), "block": F.col("block_id"), "line": F.col("first")}).where("site = next_site")
+    over = over.select("site", "doc_id", "block_id", F.col("last").alias("line_no"), F.col("next_block").alias("block2"), F.col("next_line").alias("line2"))
+    # within a block the next line with letters enough, kept or not
+    near = lines(blocks.join(seen.select("block_id").distinct(), "block_id", "left_semi")).select("site", "doc_id", "block_id", "line_no").distinct()
+    near = near.withColumn("line2", F.lead("line_no").over(Window.partitionBy("site", "doc_id", "block_id").orderBy("line_no"))).where("line2 is not null")
+    steps = near.select("site", "doc_id", "block_id", "line_no", F.col("block_id").alias("block2"), "line2").unionByName(over)
+    after = seen.select("site", "doc_id", F.col("block_id").alias("block2"), F.col("line_no").alias("line2"), F.col("h").alias("h2"))
+    found = seen.join(steps, ["site", "doc_id", "block_id", "line_no"]).join(after, ["site", "doc_id", "block2", "line2"]).where("h <> h2")
+    found = found.select("site", "h", "h2", "doc_id").distinct().groupBy("site", "h", "h2").agg(F.count("*").alias("w"))
+    weight = nodes.select("site", F.col("h"), F.col("docs").alias("d1"))
+    found = found.join(weight, ["site", "h"]).join(weight.select("site", F.col("h").alias("h2"), F.col("d1").alias("d2")), ["site", "h2"])
+    return found.where(F.col("w") * 2 >= F.least("d1", "d2")).select("site", "h", "h2")
 
-def boilerplate_blocks(blocks: DataFrame, **limits) -> DataFrame:
-    """(site, component, h, docs, lines): kept nodes by connected component of the graph of kept edges."""
+
+def graph(blocks: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
+    """(nodes, seen): kept nodes (site, h, docs, component) and their occurrences, both materialised. A lone node is a component of its own."""
     nodes = cut(support(blocks, **limits))
-    seen = occurrences(blocks, nodes).select("site", "doc_id", "block_id", "line_no", "h").distinct()
-    after = seen.select("site", "block_id", (F.col("line_no") - 1).alias("line_no"), F.col("h").alias("h2"))
-    edges = seen.join(after, ["site", "block_id", "line_no"]).where("h <> h2").select("site", "h", "h2", "doc_id").distinct().groupBy("site", "h", "h2").agg(F.count("*").alias("w"))
-    weight = nodes.select("site", F.col("h"), F.col("docs").alias("d1"))
-    edges = edges.join(weight, ["site", "h"]).join(weight.select("site", F.col("h").alias("h2"), F.col("d1").alias("d2")), ["site", "h2"])
-    edges = edges.where(F.col("w") * 2 >= F.least("d1", "d2")).select("site", "h", "h2")
-    both = cut(edges.unionByName(edges.select("site", F.col("h2").alias("h"), F.col("h").alias("h2"))).distinct())
+    seen = cut(occurrences(blocks, nodes).select("site", "doc_id", "block_id", "line_no", "h").distinct())
+    one = edges(blocks, nodes, seen)
+    both = cut(one.unionByName(one.select("site", F.col("h2").alias("h"), F.col("h").alias("h2"))).distinct())
     label = cut(nodes.select("site", "h", F.col("h").alias("component")))
     while True:
         near = both.join(label.select("site", F.col("h").alias("h2"), F.col("component").alias("c2")), ["site", "h2"]).groupBy("site", "h").agg(F.min("c2").alias("c2"))
@@ -65,8 +80,20 @@ def boilerplate_blocks(blocks: DataFrame, **limits) -> DataFrame:
         label = step.drop("moved")
         if not step.where("moved").limit(1).count():
             break
-    size = label.groupBy("site", "component").agg(F.count("*").alias("lines"))
-    return label.join(nodes, ["site", "h"]).join(size, ["site", "component"]).select("site", "component", "h", "docs", "lines")
+    return cut(label.join(nodes, ["site", "h"])), seen
+
+
+def repeated_lines(blocks: DataFrame, **limits) -> DataFrame:
+    """Distinct (block_id, line_no) of the lines that repeat within their site: the occurrences of all components."""
+    nodes, seen = graph(blocks, **limits)
+    return seen.join(small(nodes), ["site", "h"]).select("block_id", "line_no").distinct()
+
+
+def boilerplate_blocks(blocks: DataFrame, **limits) -> DataFrame:
+    """(site, component, h, docs, lines): kept nodes by connected component of the graph of kept edges."""
+    nodes, _ = graph(blocks, **limits)
+    size = nodes.groupBy("site", "component").agg(F.count("*").alias("lines"))
+    return nodes.join(size, ["site", "component"]).select("site", "component", "h", "docs", "lines")
 
 
 def without_repeated(blocks: DataFrame, **limits) -> DataFrame:

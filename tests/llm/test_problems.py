@@ -152,6 +152,17 @@ def test_repeated_lines(spark):
     assert len(parts) == 2 and boilerplate.repeated_lines(texts(spark)).count() == 0
 
 
+def test_components_run_over_blocks(spark):
+    """Repeated lines of neighbouring blocks and pages are one component; short lines between them don't count, other lines do."""
+    rows = []
+    for d in range(4):
+        rows += [(10 * d, d, "s", 1, 0, "All rights reserved here\nshort"), (10 * d + 1, d, "s", 1, 1, "12"), (10 * d + 2, d, "s", 2, 2, "--\nPrinted for reading only"), (10 * d + 3, d, "s", 2, 3, f"A body line of its own {'abcd'[d] * 9}\nNever sold in any shops")]
+    b = blocks(spark, rows)
+    sizes = sorted(r.lines for r in boilerplate.boilerplate_blocks(b.unionByName(b)).collect())
+    assert sizes == [1, 2, 2]
+    assert {tuple(r) for r in boilerplate.repeated_lines(b).collect()} == {(10 * d + i, n) for d in range(4) for i, n in ((0, 1), (2, 2), (3, 2))}
+
+
 # --- 5
 
 
