@@ -292,6 +292,18 @@ def test_residue(spark, sf):
     assert residue.judge(m, "not json {", "ipynb")[1] in (True, False) and residue.judge(m, "word " * 200_000, None) is not None
 
 
+def test_residue_share_is_of_all_lines(spark, sf):
+    """The share doesn't hang on the order of lines, and the early end leaves the flag as it is."""
+    m = residue.fit(residue.training_rows(spark.read.parquet(f"{sf}/documents.parquet")))
+    filler = ["Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore."] * 20
+    own = [ENG.split(".")[0] + "."]
+    a, b = (residue.judge(m, "# %% [markdown]\n" + "\n".join(x), "percent") for x in (own + filler, filler + own))
+    assert a == b and 0.5 < a[0] < 1 and not a[1]
+    for t in (own + filler, filler, own):
+        text = "# %% [markdown]\n" + "\n".join(t)
+        assert residue.judge(m, text, "percent", False)[1] == residue.judge(m, text, "percent")[1]
+
+
 def test_queries_run(spark, sf):
     for name, q in queries.QUERIES.items():
         df = q(spark, sf)
