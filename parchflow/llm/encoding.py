@@ -4,13 +4,14 @@ Characters are mapped back to the bytes of a legacy code page, an automaton over
 the maximal well-formed multibyte spans, and only those spans are decoded, again and again for text that was
 garbled more than once. Text whose bytes were single-byte on both sides has no such structure; there the words
 that no language of the collection could write are mapped from one code page to another, and the pair of pages
-is taken whose words are all possible. Bytes lost to U+FFFD are reported, not restored.
+is taken whose words are all possible, for the whole text or else for each span. Bytes lost to U+FFFD are reported, not restored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -209,8 +210,26 @@ def swapped_cyrillic(text: str) -> str:
     return SENTENCE.sub(fix, text)
 
 
+def by_spans(text: str, odd: list[str]) -> str:
+    """text of odd words for which no single pair does. A sentence is read by a pair under which all of its odd words are possible, of several
+    by that which fits most odd words of the text; where no pair fits them all, its odd words are read one by one. Others stay."""
+    fits = {w: [k for k, (r, t) in enumerate(PAIRS) if _fits([w], repage(r, t))] for w in dict.fromkeys(odd)}
+    votes = Counter(k for w in odd for k in fits[w])
+    best = lambda ks: repage(*PAIRS[max(ks, key=lambda k: (votes[k], -k))])
+
+    def fix(m: re.Match) -> str:
+        s = m.group()
+        if not (here := [w for w in fits if w in s]):
+            return s
+        if all_of := set.intersection(*(set(fits[w]) for w in here)):
+            return s.translate(best(all_of))
+        return TOKEN.sub(lambda x: x.group().translate(best(fits[x.group()])) if fits.get(x.group()) else x.group(), s)
+
+    return SENTENCE.sub(fix, text)
+
+
 def single_byte(text: str) -> str:
-    """text with the spans of odd words read by the pair of pages under which all of them are possible."""
+    """text with the spans of odd words read by the pair of pages under which all of them are possible, else span by span."""
     plain = INVISIBLE.sub("", text)
     odd = odd_words(plain)
     c1 = re.search("[\x80-\x9f]", plain)
@@ -228,6 +247,8 @@ def single_byte(text: str) -> str:
                     return s.translate(table) if any(w in s for w in odd) else s
 
                 return SENTENCE.sub(fix, text)
+        if (new := by_spans(text, odd)) != text:
+            return new
     if c1:
         new = re.sub("[\x80-\x9f]", lambda m: repage("cp1252", "cp1252").get(ord(m.group()), m.group()), text)
         return new if not re.search("[\x80-\x9f]", new) else text

@@ -215,6 +215,15 @@ def test_other_encodings():
         assert not encoding.restore(fine)[1], fine
 
 
+def test_mixed_damage():
+    """Passages of two page pairs, and odd words of other origin, don't keep the rest from being restored."""
+    one, two = "A reunião substitui o índice, não há solução às três.", "A câmara não guardou a última lição."
+    garbled = one.encode("cp1252").decode("mac_roman") + "\n" + two.encode("cp850").decode("cp1252")
+    assert encoding.restore(garbled) == (one + "\n" + two, True)
+    new, bad = encoding.restore(one.encode("cp1252").decode("mac_roman") + " O senhor Dvořák chegou.")
+    assert bad and new == one + " O senhor Dvořák chegou." and not encoding.restore("O senhor Dvořák chegou.")[1]
+
+
 def test_garbled(spark):
     b = texts(spark, LATIN, LATIN.encode().decode("latin-1"), *ODD, LATIN.encode().decode("latin-1") * 3000)
     assert {r.block_id for r in encoding.garbled(b.unionByName(b)).collect()} == {1, 8} and encoding.garbled(texts(spark)).count() == 0
