@@ -137,7 +137,7 @@ def natural(s: Segments) -> np.ndarray:
 
 def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     """Counts of each text: characters, those of natural sentences, words, letters of words, function words, symbols, lines,
-    lines that end a sentence. Text that isn't natural as it stands is judged again without damage to its characters."""
+    lines that end a sentence. Text that isn't all natural as it stands is judged again without damage to its characters."""
     from parchflow.llm.encoding import restore
     from parchflow.llm.normal import readable
 
@@ -149,7 +149,7 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
     nat = np.bincount(s.row, weights=np.where(good, s.size, 0), minlength=rows) if s.n else np.zeros(rows)
     visible = np.bincount(b.row, minlength=rows)
     nat = np.where(visible > 0, nat * total / np.maximum(visible, 1), 0)
-    doubt = [i for i in np.flatnonzero(nat * 2 < total).tolist() if not texts[i].isascii()]
+    doubt = [i for i in np.flatnonzero(nat < total).tolist() if not texts[i].isascii()]
     again = [(i, t) for i in doubt if (t := readable(restore(texts[i])[0])) != texts[i]]
     if again:
         b2 = Batch([t for _, t in again])

@@ -50,6 +50,18 @@ def test_prose(spark):
     assert prose.not_prose(texts(spark), s).count() == 0
 
 
+def test_damaged_sentences_of_natural_blocks_count(spark):
+    """A block of mostly clean sentences keeps those of a wrong encoding, which decide about its document."""
+    garbled = RUS.encode("utf-8").decode("latin-1")
+    half = ENG + " " + POR + " " + ENG + "\n\n" + garbled
+    got = prose.measure([half])
+    clean = len(half) - len(garbled)
+    assert got["natural"][0] > 0.9 * len(half) > clean
+    table = "\n".join(f"{i} | {i}.50 | {i * 7}" for i in range(400))[: (clean + len(half)) // 2]
+    b = blocks(spark, [(1, 1, "s", 1, 0, half), (2, 1, "s", 1, 1, table)])
+    assert prose.not_prose(b, structures(spark, [(1, "native_text", None, None)])).count() == 0
+
+
 def test_divergence_is_a_distance():
     p = np.random.default_rng(1).dirichlet(np.ones(5), 6)
     d = prose.divergence(p, p)
