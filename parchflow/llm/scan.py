@@ -7,8 +7,7 @@ Paragraphs are then put together from the body lines: broken words are joined, m
 the lexicon of the collection.
 
 A document is worked on in runs of CHUNK pages, each a group of its own that also gets the blocks of the next page,
-so that no document is one task. The lexicon holds the words with a share of at least 1/LEXICON of all words, so at
-most LEXICON of them, the trigram table at most TRIGRAMS; both may therefore be sent to all executors.
+so that no document is one task. The lexicon holds the LEXICON most frequent words, the trigram table at most TRIGRAMS; both may therefore be sent to all executors.
 """
 
 from __future__ import annotations
@@ -100,12 +99,23 @@ def header_key(line: str) -> tuple[int, int | None] | None:
     return _hash(fold(text)), n
 
 
+def readings(w: str) -> Iterator[str]:
+    """What w may have been printed as, were one of its characters taken for another."""
+    for a, b in PAIRS:
+        i = w.find(a)
+        while i >= 0:
+            yield w[:i] + b + w[i + len(a) :]
+            i = w.find(a, i + 1)
+
+
 class Words:
     """Lexicon and trigrams of the collection, and corrections by them."""
 
     def __init__(self, lexicon: dict[str, int], trigrams: dict[str, int]):
         self.lexicon, self.trigrams, self.cache = lexicon, trigrams, {}
         self.total = sum(trigrams.values()) or 1
+        # the words that are common, whatever the size of the collection, and of the others those frequent enough
+        self.least = max(1, min(math.ceil(sum(lexicon.values()) / LEXICON), AS_RARE * min(lexicon.values(), default=1)))
 
     def rarest(self, w: str) -> float:
         """Share of the rarest trigram of a word among those of the collection's words."""
@@ -113,12 +123,9 @@ class Words:
         get = self.trigrams.get
         return min(get(s[i : i + 3], 0) for i in range(len(s) - 2)) / self.total
 
-    def readings(self, w: str) -> Iterator[str]:
-        for a, b in PAIRS:
-            i = w.find(a)
-            while i >= 0:
-                yield w[:i] + b + w[i + len(a) :]
-                i = w.find(a, i + 1)
+    def target(self, w: str) -> bool:
+        """Whether a word may be corrected to w."""
+        return self.lexicon.get(w, 0) >= self.least
 
     RARE, COMMON = 2e-6, 6e-5
 
@@ -139,16 +146,16 @@ class Words:
             return None
         if len(w) < 3 and not digit:
             return None
-        first = list(dict.fromkeys(self.readings(w)))
-        best = max((x for x in first if x in self.lexicon and len(x) > 1), key=self.lexicon.__getitem__, default=None)
+        first = list(dict.fromkeys(readings(w)))
+        best = max((x for x in first if self.target(x) and len(x) > 1), key=self.lexicon.__getitem__, default=None)
         if best:
             return best
         odd = digit or self.rarest(w) < self.RARE
         if not odd:
             return None
         if len(w) >= 4:
-            second = (y for x in first for y in self.readings(x) if y != w)
-            best = max((x for x in second if x in self.lexicon), key=self.lexicon.__getitem__, default=None)
+            second = (y for x in first for y in readings(x) if y != w)
+            best = max((x for x in second if self.target(x)), key=self.lexicon.__getitem__, default=None)
             if best:
                 return best
         if len(w) >= 5 and (not digit or re.search(r"[^\W\d_]\d+[^\W\d_]", w)):
@@ -335,12 +342,22 @@ def _misread(words: Words, text: str) -> str | None:
     return "".join([*out, text[at:]])
 
 
+#: A word outside the lexicon's common ones may be a misreading that recurs: it is left out if a reading of it is TIMES as frequent;
+#: words are only corrected to one that is common, or AS_RARE times as frequent as the rarest one of the lexicon.
+TIMES, AS_RARE = 20, 4
+
+
 def collection_words(blocks: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
-    """(lexicon, trigrams): counts over all blocks of the words that are at least a 1/LEXICON of all words, and of the trigrams of all words, each word counting once."""
+    """(lexicon, trigrams): counts over all blocks of the LEXICON most frequent words seen five times or more, and of the trigrams of all words, each word counting once.
+
+    Of the words with less than a 1/LEXICON of all words those that read as a far more frequent one are no words of the lexicon.
+    """
     w = blocks.select(F.explode(F.regexp_extract_all(F.lower("raw_text"), F.lit(WORDS), 0)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     w = cut(w.where("length(w) <= 40"))
     total = w.agg(F.sum("n")).first()[0] or 0
-    lexicon = {r.w: r.n for r in w.where(F.col("n") >= max(5, math.ceil(total / LEXICON))).collect()}
+    common = math.ceil(total / LEXICON)
+    every = {r.w: r.n for r in cut(w.where("n >= 5").orderBy(F.col("n").desc(), "w").limit(LEXICON)).collect()}
+    lexicon = {x: n for x, n in every.items() if n >= common or not any(every.get(y, 0) >= TIMES * n for y in readings(x))}
     grams = w.where("length(w) >= 2 and n >= 2").select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("w")).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, F.lit(3)))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
     # of trigrams the most common, so that the bound holds whatever the alphabet
     return lexicon, {r.g: r.n for r in grams.orderBy(F.col("n").desc(), "g").limit(TRIGRAMS).collect()}

@@ -114,6 +114,16 @@ def test_numbers_and_folds():
     assert scan.fold("Infliience modern") == scan.fold("influence rnodern")
 
 
+def test_lexicon_is_filled(spark):
+    """Words below a 1/LEXICON of all words are in the lexicon and corrected to; a misreading that recurs isn't."""
+    rare = "lanterna " * 25 + "estrela " * 5 + "meeting " * 200 + "rneeting " * 6 + "seen " * 4
+    b = texts(spark, rare).unionByName(texts(spark, "x").withColumn("raw_text", F.repeat(F.lit("the "), 2_000_000)))
+    lexicon, trigrams = scan.collection_words(b)
+    assert set(lexicon) == {"the", "meeting", "lanterna", "estrela"}
+    w = scan.Words(lexicon, trigrams)
+    assert w.fix("lantema") == "lanterna" and w.fix("rneeting") == "meeting" and w.fix("estrela") is None and not w.target("estrela")
+
+
 def test_labels_are_the_best_path():
     """Viterbi against all paths."""
     rng = np.random.default_rng(3)
