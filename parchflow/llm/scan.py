@@ -6,14 +6,14 @@ aggregation: lines that recur on at least three pages, and the constant between
 Paragraphs are then put together from the body lines: broken words are joined, misread words are corrected against
 the lexicon of the collection.
 
-A document is worked on in runs of CHUNK pages, each a group of its own that also gets the blocks of the next page,
-so that no document is one task. The lexicon holds the LEXICON most frequent words, the trigram table at most TRIGRAMS; both may therefore be sent to all executors.
+A document is one group, so that a word may go on at any later page. The lexicon holds the LEXICON most frequent words, the trigram table at most TRIGRAMS; both may therefore be sent to all executors.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from parchflow.llm import boilerplate
 from parchflow.runtime import arrow_map, cut, ship
 
-LEXICON, TRIGRAMS, CHUNK = 50_000, 200_000, 32
+LEXICON, TRIGRAMS = 50_000, 200_000
 WORDS = r"[\p{L}]+(?:[-’][\p{L}]+)*"
 MIN_PAGES = 3
 
@@ -220,8 +220,8 @@ def label(seen: list[str]) -> list[int]:
     return out[::-1]
 
 
-def repair(words: Words, blocks: list[tuple[int, int, str]], keys: set[int], offset: int | None, after: list[str]) -> list[tuple[int, set[str], str]]:
-    """(block_id, noise, text) of a run of blocks (block_id, page, text) in order; after holds the texts of the next page's blocks."""
+def repair(words: Words, blocks: list[tuple[int, int, str]], keys: set[int], offset: int | None) -> list[tuple[int, set[str], str]]:
+    """(block_id, noise, text) of the blocks (block_id, page, text) of a document in order."""
     lines: list[list] = []  # block, text, observation, number in it
     for i, (_, page, text) in enumerate(blocks):
         parts = text.split("\n")
@@ -251,22 +251,25 @@ def repair(words: Words, blocks: list[tuple[int, int, str]], keys: set[int], off
                 noise[i].add("misread")
         elif s == NUMBER:
             noise[i].add("page_no")
+    firsts = [q for q, k in enumerate(body) if q and lines[body[q - 1]][0] != lines[k][0]]  # body lines that begin a block
     moved: dict[int, int] = {}  # body line -> characters that a word of an earlier line took
     for q, k in enumerate(body):
         i, x = lines[k][0], lines[k][1]
         x = x[moved.pop(k, 0) :]
         m = _BREAK.search(x)
         if m:
-            options = [(k2, y, r) for k2, y in _followers(lines, body, q, after) if (r := _REST.match(y))]
+            options = [(k2, y, r) for k2, y in _followers(lines, body, q) if (r := _REST.match(y))]
             sure = [o for o in options if (w := (m[1] + o[2][1]).lower()) in words.lexicon or words.fix(w) in words.lexicon]
             best = sure[0] if sure else options[0] if options else None
+            if not sure and (q + 1 == len(body) or lines[body[q + 1]][0] != i) and not (best and _goes_on(words, m[1], best[2][1])):
+                far = ((body[f], lines[body[f]][1]) for f in firsts[bisect_right(firsts, q + AHEAD) :])
+                best = next(((k2, y, r) for k2, y in far if (r := _REST.match(y)) and r[1].islower() and (m[1] + r[1]).lower() in words.lexicon), best)
             if best and broken(words, m[1], best[2][1]):
                 k2, _, r = best
                 noise[i].add("hyphen")
                 x = x[: m.start()] + m[1] + r[1]
-                if k2 is not None:
-                    moved[k2] = r.end()
-            elif best and best[0] is not None and lines[best[0]][0] == i and f"{m[1]}-{best[2][1]}".lower() in words.lexicon:
+                moved[k2] = r.end()
+            elif best and lines[best[0]][0] == i and f"{m[1]}-{best[2][1]}".lower() in words.lexicon:
                 k2, y, r = best  # a compound: keep its hyphen, drop the line break
                 x = x[: m.end(2)] + y[: r.end()].strip()
                 moved[k2] = r.end()
@@ -282,27 +285,24 @@ def repair(words: Words, blocks: list[tuple[int, int, str]], keys: set[int], off
     return out
 
 
-#: Lines looked ahead for the rest of a word that is broken at the end of a block.
+#: Lines looked ahead for any line with the rest of a word that is broken at the end of a block; after them, to the end of the document, only
+#: lines that begin a block are, and only where no line before them may hold the rest.
 AHEAD = 40
 
 
-def _followers(lines: list[list], body: list[int], q: int, after: list[str]) -> Iterator[tuple[int | None, str]]:
+def _followers(lines: list[list], body: list[int], q: int) -> Iterator[tuple[int, str]]:
     """The body lines on which a word broken at body line q may go on: the next line of the block, or lines of the next blocks."""
     i = lines[body[q]][0]
     if q + 1 < len(body) and lines[body[q + 1]][0] == i:
         yield body[q + 1], lines[body[q + 1]][1]
         return
-    n = 0
     for k in body[q + 1 : q + 1 + AHEAD]:
-        n += 1
         yield k, lines[k][1]
-    for t in after:
-        for x in t.split("\n"):
-            if n >= AHEAD:
-                return
-            if lone_number(x) is None:
-                n += 1
-                yield None, _HIDDEN.sub("", x)
+
+
+def _goes_on(words: Words, left: str, right: str) -> bool:
+    """Whether right continues left, as one word or as a compound of the lexicon."""
+    return f"{left}-{right}".lower() in words.lexicon or broken(words, left, right)
 
 
 _HEADED = re.compile(r"[^\W\d_]{2,}(?:-[^\W\d_]+)*\d{1,2}")
@@ -364,10 +364,10 @@ def collection_words(blocks: DataFrame) -> tuple[dict[str, int], dict[str, int]]
 
 
 def scanned(blocks: DataFrame, structures: DataFrame) -> DataFrame:
-    """The blocks of ocr_fallback documents: doc_id, block_id, site, page, ord, chunk, t."""
+    """The blocks of ocr_fallback documents: doc_id, block_id, site, page, ord, t."""
     ids = structures.where("strategy = 'ocr_fallback' and doc_id is not null").select("doc_id").distinct()
     b = blocks.where("block_id is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("block_id").cast("long").alias("block_id"), "site", F.col("page_number").cast("int").alias("page"), F.col("block_ord").cast("int").alias("ord"), F.coalesce("raw_text", F.lit("")).alias("t"))
-    return b.join(ids, "doc_id", "left_semi").withColumn("chunk", F.floor(F.coalesce("page", F.lit(0)) / CHUNK).cast("int"))
+    return b.join(ids, "doc_id", "left_semi")
 
 
 def _candidates(b: dict) -> dict:
@@ -415,24 +415,22 @@ def repaired(blocks: DataFrame, structures: DataFrame) -> DataFrame:
     facts = document_facts(ocr, blocks)
     lexicon, trigrams = collection_words(blocks)
     sent = blocks.sparkSession.sparkContext.broadcast((lexicon, trigrams))
-    cols = ("doc_id", "chunk", "kind", "page", "ord", "block_id", "t", "keys", "shift")
+    cols = ("doc_id", "kind", "page", "ord", "block_id", "t", "keys", "shift")
     none = {"keys": F.lit(None).cast("array<long>"), "shift": F.lit(None).cast("int")}
     rows = ocr.withColumns({"kind": F.lit(1)} | none).select(*cols)
-    ahead = ocr.where(F.col("page") % CHUNK == 0).withColumns({"kind": F.lit(2), "chunk": F.col("chunk") - 1} | none).select(*cols)
-    head = ocr.select("doc_id", "chunk").distinct().join(facts, "doc_id").select("doc_id", "chunk", F.lit(0).alias("kind"), F.lit(0).alias("page"), F.lit(0).alias("ord"), F.lit(0).cast("long").alias("block_id"), F.lit("").alias("t"), "keys", "shift")
-    every = rows.unionByName(ahead).unionByName(head)
-    every = every.repartition("doc_id", "chunk").sortWithinPartitions("doc_id", "chunk", "kind", "page", "ord", "block_id")
+    head = ocr.select("doc_id").distinct().join(facts, "doc_id").select("doc_id", F.lit(0).alias("kind"), F.lit(0).alias("page"), F.lit(0).alias("ord"), F.lit(0).cast("long").alias("block_id"), F.lit("").alias("t"), "keys", "shift")
+    every = rows.unionByName(head).repartition("doc_id").sortWithinPartitions("doc_id", "kind", "page", "ord", "block_id")
     schema = pa.schema([("doc_id", pa.int64()), ("block_id", pa.int64()), ("noise", pa.list_(pa.string())), ("normalized_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(*sent.value)
-        at, run_blocks, after, keys, shift = None, [], [], set(), None
+        at, run_blocks, keys, shift = None, [], set(), None
         out: list[list] = [[], [], [], []]
 
         def close() -> None:
             if run_blocks:
-                for block, kinds, text in repair(words, run_blocks, keys, shift, after):
-                    for c, v in zip(out, (at[0], block, sorted(kinds), text)):
+                for block, kinds, text in repair(words, run_blocks, keys, shift):
+                    for c, v in zip(out, (at, block, sorted(kinds), text)):
                         c.append(v)
 
         def flush() -> pa.RecordBatch:
@@ -442,14 +440,12 @@ def repaired(blocks: DataFrame, structures: DataFrame) -> DataFrame:
             return batch
 
         for batch in batches:
-            for doc, chunk, kind, page, _, block, t, ks, sh in zip(*(batch.column(i).to_pylist() for i in range(len(cols)))):
-                if (doc, chunk) != at:
+            for doc, kind, page, _, block, t, ks, sh in zip(*(batch.column(i).to_pylist() for i in range(len(cols)))):
+                if doc != at:
                     close()
-                    at, run_blocks, after, keys, shift = (doc, chunk), [], [], set(), None
+                    at, run_blocks, keys, shift = doc, [], set(), None
                 if kind == 0:
                     keys, shift = set(ks or ()), sh
-                elif kind == 2:
-                    after.append(t)
                 elif not run_blocks or run_blocks[-1][0] != block:
                     run_blocks.append((block, page if page is not None else 0, t))
             if len(out[0]) >= 2_000:

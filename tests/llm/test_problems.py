@@ -114,6 +114,16 @@ def test_numbers_and_folds():
     assert scan.fold("Infliience modern") == scan.fold("influence rnodern")
 
 
+def test_words_go_on_over_any_pages(spark):
+    """A word broken at page 31 goes on at page 32, or behind a table and empty pages, and its rest isn't repeated."""
+    rows = [(0, 7, "s", 31, 0, "The council keeps the note-"), (1, 7, "s", 32, 1, "book after the meeting"), (2, 7, "s", 63, 2, "It saw the cham-"), (3, 7, "s", 66, 3, "\n".join(f"{i} | {i}" for i in range(60))), (4, 7, "s", 67, 4, "ber in winter")]
+    rows += [(100, 8, "s", 1, 0, "the notebook and the chamber " * 30)]
+    b, s = blocks(spark, rows), structures(spark, [(7, "ocr_fallback", None, None), (8, "native_text", None, None)])
+    assert {tuple(r) for r in scan.noise(b, s).collect()} == {(0, "hyphen"), (2, "hyphen")}
+    t = {r.block_id: r.normalized_text for r in scan.paragraphs(b, s).collect()}
+    assert t[0] == "The council keeps the notebook" and t[1] == "after the meeting" and t[2] == "It saw the chamber" and t[4] == "in winter"
+
+
 def test_lexicon_is_filled(spark):
     """Words below a 1/LEXICON of all words are in the lexicon and corrected to; a misreading that recurs isn't."""
     rare = "lanterna " * 25 + "estrela " * 5 + "meeting " * 200 + "rneeting " * 6 + "seen " * 4
