@@ -159,18 +159,18 @@ def _keys(b: dict) -> dict:
     return out
 
 
-def lookalike_pairs(blocks: DataFrame, text: str = "raw_text", key: str = "block_id", full: int = 64) -> DataFrame:
+def lookalike_pairs(blocks: DataFrame, text: str = "raw_text", key: str = "block_id", full: int | None = None) -> DataFrame:
     """(block_id_a, block_id_b): rows whose text differs while its form is equal.
 
-    Rows of equal form make a class, rows of equal text in it a variant. In a class of at most `full` rows all
-    pairs across variants are listed; in a larger one each row is paired with the first row of every other
-    variant, so that every link between different texts is kept and copies aren't multiplied. Null, empty and
+    Rows of equal form make a class, rows of equal text in it a variant. All pairs across variants are listed,
+    whatever the size of the class. Only where `full` is given, a class of more rows pairs each row with the first
+    row of every other variant. Null, empty and
     invisible texts belong to no class; repeated rows count once. Only 32 bytes a row are shuffled.
     """
     rows = arrow_map(blocks.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), _keys, "id long, form long, form2 long, raw long")
     rows = cut(rows.dropDuplicates())
     variants = rows.groupBy("form", "form2", "raw").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    classes = variants.groupBy("form", "form2").agg(F.count("*").alias("v"), F.sum("n").alias("n")).where("v > 1").select("form", "form2", (F.col("n") <= full).alias("all"))
+    classes = variants.groupBy("form", "form2").agg(F.count("*").alias("v"), F.sum("n").alias("n")).where("v > 1").select("form", "form2", (F.lit(True) if full is None else F.col("n") <= full).alias("all"))
     members = rows.join(classes, ["form", "form2"])
     members = cut(members)
     few, many = members.where("all"), members.where(~F.col("all"))

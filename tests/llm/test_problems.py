@@ -159,6 +159,12 @@ def test_lookalikes(spark):
     assert {normal.canonical(t) for t in same} == {base} and normal.canonical(None) is None and normal.readable("pоrta книга") == "porta книга"
 
 
+def test_large_classes_list_all_pairs(spark):
+    base = "A fábrica observou o café com calma."
+    b = texts(spark, *[base] * 40, *[base.replace(" ", "\xa0")] * 40)
+    assert {tuple(r) for r in normal.lookalike_pairs(b).collect()} == {(i, j) for i in range(40) for j in range(40, 80)}
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_forms_are_stable(t):
