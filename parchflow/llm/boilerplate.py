@@ -24,18 +24,22 @@ def line_key(line: Column) -> Column:
 def lines(blocks: DataFrame) -> DataFrame:
     """(site, doc_id, block_id, line_no, h): the lines of at least MIN_LETTERS letters, h a 64-bit hash of their letters.
 
-    Rows with a null site, document, block or text have no lines here.
+    Letters are taken from the whole text at once, line feeds kept. Rows with a null site, document, block or text have no lines here.
     """
-    b = blocks.select("site", "doc_id", "block_id", "raw_text").where("site is not null and doc_id is not null and block_id is not null and length(raw_text) >= %d" % MIN_LETTERS)
-    b = b.select("site", "doc_id", "block_id", F.posexplode(F.split("raw_text", "\n")).alias("i", "line")).where(F.length("line") >= MIN_LETTERS)
-    return b.select("site", "doc_id", "block_id", (F.col("i") + 1).alias("line_no"), line_key(F.col("line")).alias("k")).where(F.length("k") >= MIN_LETTERS).select("site", "doc_id", "block_id", "line_no", F.xxhash64("k").alias("h"))
+    b = blocks.where("site is not null and doc_id is not null and block_id is not null and length(raw_text) >= %d" % MIN_LETTERS)
+    b = b.select("site", "doc_id", "block_id", F.posexplode(F.split(F.regexp_replace(F.lower("raw_text"), r"[^\p{L}\n]+", ""), "\n")).alias("i", "k"))
+    return b.where(F.length("k") >= MIN_LETTERS).select("site", "doc_id", "block_id", (F.col("i") + 1).alias("line_no"), F.xxhash64("k").alias("h"))
 
 
-def support(blocks: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(site, h, docs): the kept nodes. Documents are made distinct per line before they are counted, so a hot site is spread over its lines."""
+def support(blocks: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, among: DataFrame | None = None) -> DataFrame:
+    """(site, h, docs): the kept nodes, of all lines or of those in `among` (site, h). Documents are made distinct per line before they are
+    counted, so a hot site is spread over its lines; the counts of sites, a row each, are broadcast if few."""
     sites = blocks.where("site is not null and doc_id is not null").select("site", "doc_id").distinct().groupBy("site").agg(F.count("*").alias("site_docs"))
-    nodes = lines(blocks).select("site", "h", "doc_id").distinct().groupBy("site", "h").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    return nodes.join(sites, "site").where(F.col("docs") >= F.col("site_docs") * F.lit(min_share)).select("site", "h", "docs")
+    rows = lines(blocks).select("site", "h", "doc_id")
+    if among is not None:
+        rows = rows.join(small(cut(among)), ["site", "h"], "left_semi")
+    nodes = rows.distinct().groupBy("site", "h").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    return nodes.join(small(cut(sites)), "site").where(F.col("docs") >= F.col("site_docs") * F.lit(min_share)).select("site", "h", "docs")
 
 
 def occurrences(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -66,20 +70,33 @@ def edges(blocks: DataFrame, nodes: DataFrame, seen: DataFrame) -> DataFrame:
     return found.where(F.col("w") * 2 >= F.least("d1", "d2")).select("site", "h", "h2")
 
 
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(site, h, component) of nodes (site, h) by edges (site, h, h2) in both directions: the least node of each connected component.
+
+    Each round takes the least label among a node and its neighbours, then jumps to the label of that label, so that a chain of n lines
+    takes some log n rounds.
+    """
+    label = cut(nodes.select("site", "h", F.col("h").alias("component")))
+    while True:
+        near = edges.join(label.select("site", F.col("h").alias("h2"), F.col("component").alias("c2")), ["site", "h2"]).groupBy("site", "h").agg(F.min("c2").alias("c2"))
+        least = label.join(near, ["site", "h"], "left").select("site", "h", F.col("component").alias("old"), F.least("component", F.coalesce("c2", "component")).alias("component"))
+        # a label also hears of what the nodes that bear it have seen
+        heard = least.groupBy("site", F.col("old").alias("h")).agg(F.min("component").alias("c3"))
+        hooked = least.join(heard, ["site", "h"], "left").select("site", "h", "old", F.least("component", F.coalesce("c3", "component")).alias("component"))
+        up = hooked.select("site", F.col("h").alias("component"), F.col("component").alias("above"))
+        step = cut(hooked.join(up, ["site", "component"]).select("site", "h", F.col("above").alias("component"), (F.col("above") < F.col("old")).alias("moved")))
+        label = step.drop("moved")
+        if not step.where("moved").limit(1).count():
+            return label
+
+
 def graph(blocks: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
     """(nodes, seen): kept nodes (site, h, docs, component) and their occurrences, both materialised. A lone node is a component of its own."""
     nodes = cut(support(blocks, **limits))
     seen = cut(occurrences(blocks, nodes).select("site", "doc_id", "block_id", "line_no", "h").distinct())
     one = edges(blocks, nodes, seen)
     both = cut(one.unionByName(one.select("site", F.col("h2").alias("h"), F.col("h").alias("h2"))).distinct())
-    label = cut(nodes.select("site", "h", F.col("h").alias("component")))
-    while True:
-        near = both.join(label.select("site", F.col("h").alias("h2"), F.col("component").alias("c2")), ["site", "h2"]).groupBy("site", "h").agg(F.min("c2").alias("c2"))
-        step = label.join(near, ["site", "h"], "left").select("site", "h", F.least("component", F.coalesce("c2", "component")).alias("component"), (F.col("c2") < F.col("component")).alias("moved"))
-        step = cut(step)
-        label = step.drop("moved")
-        if not step.where("moved").limit(1).count():
-            break
+    label = components(nodes, both)
     return cut(label.join(nodes, ["site", "h"])), seen
 
 

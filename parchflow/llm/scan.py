@@ -1,12 +1,15 @@
 """Problem 2: text of scanned pages made continuous again, with the noise named per block.
 
-Lines are labelled as body, body that ends in a broken word, running header or page number by a hidden Markov model
-whose observations are layout (place in block and page) and two facts of the whole document, found first by
-aggregation: lines that recur on at least three pages, and the constant between printed and real page number.
-Paragraphs are then put together from the body lines: broken words are joined, misread words are corrected against
-the lexicon of the collection.
-
-A document is one group, so that a word may go on at any later page. The lexicon holds the LEXICON most frequent words, the trigram table at most TRIGRAMS; both may therefore be sent to all executors.
+Lines are labelled as body, body that ends in a broken word, running header or page number by a hidden Markov model over the lines of a
+document. Its features are layout (place of the block on the page by its box, place of the line in the block, indentation), form (end,
+first character, length) and two facts of the document (pages on which the line recurs, the constant between printed and real page
+number); transitions and emissions are counted on a sample of documents, labelled by recurrence. What the model labels
+as header or number must stand an exact check. Paragraphs are then put together from the body lines: broken words are joined, misread words
+are corrected against the words of the collection.
+
+A document is one group, so that a word may go on at any later page. The collection's words stay a table: documents ask for
+the words they hold that aren't common, and get answers by joins. Only common words, at most COMMON, and
+hashed trigrams, BUCKETS counts, are sent to tasks.
 """
 
 from __future__ import annotations
@@ -14,19 +17,26 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchflow.llm import boilerplate
+from parchflow.llm.encoding import restore
+from parchflow.llm.normal import readable
 from parchflow.runtime import arrow_map, cut, ship
 
-LEXICON, TRIGRAMS = 50_000, 200_000
+BUCKETS = 1 << 18  # of hashed trigrams
+SAMPLE_DOCS = 2_000  # documents that the line model is counted on
+ROWS = 200_000
 WORDS = r"[\p{L}]+(?:[-’][\p{L}]+)*"
 MIN_PAGES = 3
+LETTERS = 4  # of a line that can be told from others
 
 # What scanners take characters for, as read and as printed.
 CONFUSIONS = """
@@ -49,11 +59,11 @@ def fold(line: str) -> str:
 
 
 _PAGE_FOLDS = {fold(w) for w in PAGE_WORDS.split()}
-_NUM = r"[0-9]{1,4}|[0-9lIOo]{0,3}[0-9][0-9lIOo]{0,3}|[ivxlc]{1,8}|[IVXLC]{1,8}"
-_LONE = re.compile(rf"[\s\-–—\[\]|·*.‐]*(?:([^\W\d_]{{1,7}})[.\s]*\s)?[\s\-–—\[\]|·*]*({_NUM})(?:\s*(?:/|of|de|von|di|из)\s*[0-9lIOo]{{1,4}})?[\s\-–—\[\]|·*.]*")
+_NUM = r"[0-9lIOo]*[0-9][0-9lIOo]*|[ivxlcdm]+|[IVXLCDM]+"
+_LONE = re.compile(rf"[\s\-–—\[\]|·*.‐]*(?:([^\W\d_]{{1,7}})[.\s]*\s)?[\s\-–—\[\]|·*]*({_NUM})(?:\s*(?:/|of|de|von|di|из)\s*[0-9lIOo]+)?[\s\-–—\[\]|·*.]*")
 _LEAD = re.compile(rf"\s*({_NUM})[\s|·—–-]+(\S.*)", re.S)
 _TAIL = re.compile(rf"(.*\S)[\s|·—–-]+({_NUM})\s*", re.S)
-_ROMAN = re.compile(r"(?=[ivxlc])c{0,3}(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
+_ROMAN = re.compile(r"(?=[ivxlcdm])m*(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})")
 
 
 def number(s: str) -> int | None:
@@ -62,13 +72,13 @@ def number(s: str) -> int | None:
         return int(s.translate(str.maketrans("lio", "110")))
     if not _ROMAN.fullmatch(s):
         return 1 if s == "l" else None
-    v = [dict(i=1, v=5, x=10, l=50, c=100)[c] for c in s]
+    v = [dict(i=1, v=5, x=10, l=50, c=100, d=500, m=1000)[c] for c in s]
     return sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0]))
 
 
 def lone_number(line: str) -> int | None:
     """The number of a line that holds nothing but a page number."""
-    if len(line) > 24 or not (m := _LONE.fullmatch(line)):
+    if not (m := _LONE.fullmatch(line)):
         return None
     if m[1] and fold(m[1]) not in _PAGE_FOLDS:
         return None
@@ -78,14 +88,14 @@ def lone_number(line: str) -> int | None:
 def header_parts(line: str) -> tuple[str, int | None]:
     """(what recurs, number in it) of a line that may be a running header."""
     for m, n, rest in ((_LEAD.fullmatch(line), 1, 2), (_TAIL.fullmatch(line), 2, 1)):
-        if m and (v := number(m[n])) is not None and (m[n][0].isdigit() or re.search(r"\s{2}|[|·—–]", line)) and sum(map(str.isalpha, m[rest])) >= 8:
+        if m and (v := number(m[n])) is not None and (m[n][0].isdigit() or re.search(r"\s{2}|[|·—–]", line)) and sum(map(str.isalpha, m[rest])) >= LETTERS:
             return m[rest], v
     return line, None
 
 
 def may_be_header(line: str) -> bool:
-    """Whether a line could recur as a header: letters enough, and no end of a sentence."""
-    return 8 <= len(line) <= 160 and line.rstrip()[-1:] not in ".!?,;:-‐¬­" and sum(map(str.isalpha, line)) >= 8
+    """Whether a line could recur as a header: letters enough to be told from others, and no end of a sentence."""
+    return line.rstrip()[-1:] not in ".!?,;:-‐¬\xad" and sum(map(str.isalpha, line)) >= LETTERS
 
 
 def _hash(s: str) -> int:
@@ -108,61 +118,69 @@ def readings(w: str) -> Iterator[str]:
             i = w.find(a, i + 1)
 
 
-class Words:
-    """Lexicon and trigrams of the collection, and corrections by them."""
+class Trigrams:
+    """Shares of hashed trigrams among the distinct words of the collection: an array of fixed size, whatever the alphabets."""
 
-    def __init__(self, lexicon: dict[str, int], trigrams: dict[str, int]):
-        self.lexicon, self.trigrams, self.cache = lexicon, trigrams, {}
-        self.total = sum(trigrams.values()) or 1
-        # the words that are common, whatever the size of the collection, and of the others those frequent enough
-        self.least = max(1, min(math.ceil(sum(lexicon.values()) / LEXICON), AS_RARE * min(lexicon.values(), default=1)))
+    RARE, COMMON = 2e-6, 6e-5
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.total = counts, max(1, int(counts.sum()))
 
     def rarest(self, w: str) -> float:
-        """Share of the rarest trigram of a word among those of the collection's words."""
+        """Share of the rarest trigram of a word."""
         s = f" {w} "
-        get = self.trigrams.get
-        return min(get(s[i : i + 3], 0) for i in range(len(s) - 2)) / self.total
+        return min(int(self.counts[xxhash.xxh32_intdigest(s[i : i + 3]) % BUCKETS]) for i in range(len(s) - 2)) / self.total
+
+
+def proposals(w: str, trigrams: Trigrams, lengths: frozenset[int]) -> tuple[list[str], list[str], str | None]:
+    """(readings with one character taken for another, with two, a reading that needs no lexicon) of a word that isn't common.
+
+    Readings as long as no word that may be corrected to are left out. Two characters are thought of only where a digit or a trigram that
+    hardly any word has shows that something is wrong; a word that no word of the lexicon explains is read with the one change
+    that makes its trigrams common ones."""
+    digit = any(c.isdigit() for c in w)
+    if len(w) < 2 or (len(w) < 3 and not digit):
+        return [], [], None
+    near = any(len(w) + k in lengths for k in range(-2, 3))
+    if not near and not (digit and any(c.isalpha() for c in w)):
+        return [], [], None
+    first = list(dict.fromkeys(readings(w)))
+    second: list[str] = []
+    guess = None
+    if digit or trigrams.rarest(w) < Trigrams.RARE:
+        if len(w) >= 4 and near:
+            second = list({y for x in first for y in readings(x) if y != w and len(y) in lengths}.difference(first))
+        if len(w) >= 5 and (not digit or re.search(r"[^\W\d_]\d+[^\W\d_]", w)):
+            x = max(first, key=trigrams.rarest, default=None)
+            if x and not any(c.isdigit() for c in x) and trigrams.rarest(x) >= Trigrams.COMMON:
+                guess = x
+    return [x for x in first if len(x) > 1 and len(x) in lengths], second, guess
 
-    def target(self, w: str) -> bool:
-        """Whether a word may be corrected to w."""
-        return self.lexicon.get(w, 0) >= self.least
 
-    RARE, COMMON = 2e-6, 6e-5
+class Words:
+    """What a document needs of the collection's words: the common ones, and answers (known, reading, whether that is a word) on others."""
 
-    def fix(self, w: str) -> str | None:
-        """The word that w was printed as, if w is a misreading; w in lower case, None if it may stand."""
-        if w in self.cache:
-            return self.cache[w]
-        out = self._fix(w)
-        if len(self.cache) < 200_000:
-            self.cache[w] = out
-        return out
+    def __init__(self, common: frozenset[str], answers: dict[str, tuple[bool, str | None, bool]] | None = None):
+        self.common, self.answers = common, answers or {}
+
+    def known(self, w: str) -> bool:
+        """Whether w, asked for as the whole of a broken word, is a word."""
+        return w in self.common or self.answers.get(w, _NO)[0]
+
+    def means(self, w: str) -> bool:
+        """Whether w is a word, or a misreading of one."""
+        if w in self.common:
+            return True
+        a = self.answers.get(w, _NO)
+        return a[0] or a[2]
+
+    def odd(self, w: str) -> tuple[bool, str | None, bool] | None:
+        """The answer on a word of the text that isn't known."""
+        a = self.answers.get(w)
+        return None if a is None or a[0] else a
 
-    def _fix(self, w: str) -> str | None:
-        if w in self.lexicon or len(w) < 2 or len(w) > 40:
-            return None
-        digit = any(c.isdigit() for c in w)
-        if digit and (w.isdigit() or not re.search(r"[^\W\d_]", w)):
-            return None
-        if len(w) < 3 and not digit:
-            return None
-        first = list(dict.fromkeys(readings(w)))
-        best = max((x for x in first if self.target(x) and len(x) > 1), key=self.lexicon.__getitem__, default=None)
-        if best:
-            return best
-        odd = digit or self.rarest(w) < self.RARE
-        if not odd:
-            return None
-        if len(w) >= 4:
-            second = (y for x in first for y in readings(x) if y != w)
-            best = max((x for x in second if self.target(x)), key=self.lexicon.__getitem__, default=None)
-            if best:
-                return best
-        if len(w) >= 5 and (not digit or re.search(r"[^\W\d_]\d+[^\W\d_]", w)):
-            x = max(first, key=self.rarest, default=None)
-            if x and not any(c.isdigit() for c in x) and self.rarest(x) >= self.COMMON:
-                return x
-        return None
+
+_NO = (False, None, False)
 
 
 _TOKEN = re.compile(r"(?:(?<!\S)!(?=[^\W\d_]))?[^\W_]+(?:[-’!][^\W\d_]+)*")
@@ -173,160 +191,294 @@ _HIDDEN = re.compile("[​-‏⁠﻿￼\x00-\x08\x0b-\x1f]|\xad(?!\\s*$)")
 
 def broken(words: Words, left: str, right: str) -> bool:
     """Whether left and right are one word written without a hyphen, rather than a compound broken at its own."""
-    a, b = left.lower(), right.lower()
-    if a + b in words.lexicon:
+    one, two = f"{left}{right}".lower(), f"{left}-{right}".lower()
+    if words.known(one):
         return True
-    if f"{a}-{b}" in words.lexicon:
+    if words.known(two):
         return False
-    if words.fix(a + b) in words.lexicon:
+    if words.means(one):
         return True
-    if words.fix(f"{a}-{b}") or "-".join((words.fix(a) or a, words.fix(b) or b)) in words.lexicon:
+    if words.answers.get(two, _NO)[1]:
         return False
     return right[0].islower() or left.isupper()
 
 
-BODY, BROKEN, HEAD, NUMBER = range(4)
-# Log-probabilities of the model: a state follows another (rows: from), and shows an observation.
-_NEXT = [[math.log(x) for x in row] for row in ((0.70, 0.14, 0.08, 0.08), (0.78, 0.12, 0.05, 0.05), (0.75, 0.10, 0.05, 0.10), (0.45, 0.05, 0.45, 0.05))]
-_SHOWN = {
-    # (recurs in the document, is the page's number, stands at an edge, ends in a broken word)
-    "head": (math.log(0.0005), math.log(0.0001), math.log(0.9), math.log(0.0001)),
-    "number": (math.log(0.002), math.log(0.0001), math.log(0.001), math.log(0.9)),
-    "inner": (math.log(0.02), math.log(0.0001), math.log(0.0001), math.log(0.01)),
-    "broken": (math.log(0.02), math.log(0.95), math.log(0.0001), math.log(0.0001)),
-    "plain": (math.log(0.97), math.log(0.02), math.log(0.001), math.log(0.0005)),
-}
-
-
-def label(seen: list[str]) -> list[int]:
-    """The most likely states of a run of lines (Viterbi)."""
-    if not seen:
-        return []
-    score = list(_SHOWN[seen[0]])
-    back = []
-    for o in seen[1:]:
-        step, row = [], []
-        for t in range(4):
-            k = max(range(4), key=lambda f: score[f] + _NEXT[f][t])
-            row.append(k)
-            step.append(score[k] + _NEXT[k][t] + _SHOWN[o][t])
-        back.append(row)
-        score = step
-    at = max(range(4), key=score.__getitem__)
-    out = [at]
-    for row in reversed(back):
-        at = row[at]
-        out.append(at)
-    return out[::-1]
-
-
-def repair(words: Words, blocks: list[tuple[int, int, str]], keys: set[int], offset: int | None) -> list[tuple[int, set[str], str]]:
-    """(block_id, noise, text) of the blocks (block_id, page, text) of a document in order."""
-    lines: list[list] = []  # block, text, observation, number in it
-    for i, (_, page, text) in enumerate(blocks):
-        parts = text.split("\n")
-        for j, x in enumerate(parts):
-            edge = j == 0 or j == len(parts) - 1
-            clean = _HIDDEN.sub("", x)
-            got, n = "plain", None
-            key = header_key(clean) if page is not None and page >= 2 and keys else None
-            if key and key[0] in keys:
-                got, n = "head", key[1]
-            elif offset is not None and page is not None and (v := lone_number(clean)) is not None and v - page == offset:
-                got = "number" if edge or j == 1 or j == len(parts) - 2 else "inner"
-            elif _BREAK.search(clean):
-                got = "broken"
-            lines.append([i, clean, got, n])
-    states = label([x[2] for x in lines])
+# --- the line model
+
+BODY, BREAK, HEAD, NUMBER = range(4)
+#: Values of each feature of a line: place of its block from the top and from the bottom of the page, place in the block, end, first
+#: character, length, pages on which it recurs, indentation, and whether it is the page's number.
+SIZES = (3, 4, 5, 4, 4, 4, 4, 3, 3)
+
+
+class LineModel:
+    """Hidden Markov model of the lines of a document: features are independent given the state; both tables are counted from labelled lines."""
+
+    def __init__(self, shown: list[list[list[float]]], follows: list[list[float]]):
+        log = lambda row: [math.log((x + 0.5) / (sum(row) + 0.5 * len(row))) for x in row]
+        self.shown = [[log(values) for values in features] for features in shown]
+        self.follows = [log(row) for row in follows]
+        flat = [x for row in self.follows for x in row]
+        self.swing = 2 * (max(flat) - min(flat))
+        self.cache: dict[tuple, tuple[list[float], int]] = {}
+
+    def emission(self, seen: tuple) -> tuple[list[float], int]:
+        """(log-probability of the features under each state, the state if no neighbour could change it, else -1)."""
+        if (got := self.cache.get(seen)) is None:
+            e = [sum(f[k] for f, k in zip(features, seen)) for features in self.shown]
+            top = max(range(4), key=e.__getitem__)
+            sure = all(e[top] - x > self.swing for t, x in enumerate(e) if t != top)
+            got = self.cache[seen] = (e, top if sure else -1)
+        return got
+
+    def label(self, lines: list[tuple]) -> list[int]:
+        """The most likely states of the lines of a document (Viterbi). Where a line's features outweigh whatever its neighbours may say, the path is known to pass, so that only the stretches between such lines are searched."""
+        out: list[int] = []
+        score: list[float] = []
+        back: list[list[int]] = []
+
+        def close(last: int | None) -> None:
+            """States of the open stretch, given the state after it."""
+            if not back:
+                return
+            at = max(range(4), key=score.__getitem__) if last is None else max(range(4), key=lambda s: score[s] + self.follows[s][last])
+            path = [at]
+            for row in reversed(back[1:]):
+                at = row[at]
+                path.append(at)
+            out.extend(reversed(path))
+            back.clear()
+
+        for seen in lines:
+            e, sure = self.emission(seen)
+            if sure >= 0:
+                close(sure)
+                out.append(sure)
+                continue
+            if not back:
+                before = self.follows[out[-1]] if out else [0.0] * 4
+                score, back = [before[t] + e[t] for t in range(4)], [[0] * 4]
+                continue
+            step, row = [], []
+            for t in range(4):
+                k = max(range(4), key=lambda s: score[s] + self.follows[s][t])
+                row.append(k)
+                step.append(score[k] + self.follows[k][t] + e[t])
+            back.append(row)
+            score = step
+        close(None)
+        return out
+
+
+class Document:
+    """The lines of a document with their features and what recurs in it.
+
+    Blocks are (block_id, page, text, x0, y0, x1, y1) in the order of the document; without boxes order stands for place.
+    """
+
+    def __init__(self, blocks: list[tuple]):
+        self.blocks = blocks
+        self.block: list[int] = []
+        self.text: list[str] = []
+        self.key: list[tuple[int, int | None] | None] = []
+        self.lone: list[int | None] = []
+        place: list[int] = []
+        for i, b in enumerate(blocks):
+            parts = b[2].split("\n")
+            last = len(parts) - 1
+            for j, x in enumerate(parts):
+                x = _HIDDEN.sub("", x)
+                at = 0 if not last else 1 if j == 0 else 2 if j == last else 3 if j == 1 or j == last - 1 else 4
+                self.block.append(i)
+                self.text.append(x)
+                place.append(at)
+                n = lone_number(x) if at < 4 else None
+                self.lone.append(n)
+                self.key.append(header_key(x) if n is None and at < 4 and b[1] >= 2 else None)
+        self._recurrence()
+        self._features(place)
+
+    def _recurrence(self) -> None:
+        pages: dict[int, set[int]] = {}
+        for i, k in zip(self.block, self.key):
+            if k:
+                pages.setdefault(k[0], set()).add(self.blocks[i][1])
+        self.pages = {k: len(v) for k, v in pages.items()}
+        shifts: dict[int, set[int]] = {}
+        tops: dict[int, int] = {}
+        for i, k, n in zip(self.block, self.key, self.lone):
+            if n is None and k and self.pages[k[0]] >= MIN_PAGES:
+                n = k[1]
+            page = self.blocks[i][1]
+            if n is not None and page:
+                shifts.setdefault(n - page, set()).add(page)
+                tops[n - page] = max(tops.get(n - page, 0), n)
+        # a shift is believed if several pages show it; a single number must not look like a year
+        ok = [s for s in shifts if len(shifts[s]) >= MIN_PAGES or tops[s] < 1000]
+        self.shift = max(ok, key=lambda s: (len(shifts[s]), -abs(s), s), default=None)
+
+    def _features(self, place: list[int]) -> None:
+        by_page: dict[int, list[int]] = {}
+        for i, b in enumerate(self.blocks):
+            by_page.setdefault(b[1], []).append(i)
+        top, bottom = [2] * len(self.blocks), [3] * len(self.blocks)
+        for ids in by_page.values():
+            boxed = all(self.blocks[i][4] is not None and self.blocks[i][6] is not None for i in ids)
+            for r, i in enumerate(sorted(ids, key=lambda i: self.blocks[i][4]) if boxed else ids):
+                top[i] = min(r, 2)
+            for r, i in enumerate(sorted(ids, key=lambda i: -self.blocks[i][6]) if boxed else ids[::-1]):
+                bottom[i] = min(r, 3)
+        margin = min((b[3] for b in self.blocks if b[3] is not None), default=None)
+        indent = [2 if b[3] is None or margin is None else int(b[3] - margin > 15) for b in self.blocks]
+        self.seen: list[tuple] = []
+        for i, x, at, k, n in zip(self.block, self.text, place, self.key, self.lone):
+            s = x.strip()
+            first, end = s[:1], s[-1:]
+            ends = 0 if _BREAK.search(x) else 1 if end in _STOPS and end else 2 if end else 3
+            starts = 0 if first.isupper() else 1 if first.islower() else 2 if first.isdigit() else 3
+            size = 0 if len(s) <= 12 else 1 if len(s) <= 40 else 2 if len(s) <= 70 else 3
+            recurs = 0 if k is None else min(self.pages[k[0]], 3)
+            number = 0 if n is None else 1 if self.shift is not None and n - self.blocks[i][1] == self.shift else 2
+            self.seen.append((top[i], bottom[i], at, ends, starts, size, recurs, indent[i], number))
+
+    def taught(self) -> list[int]:
+        """States of the lines by recurrence alone, to count the model from."""
+        return [
+            HEAD if s[6] == 3 and s[2] < 3 and (s[0] == 0 or s[1] < 3) else NUMBER if s[8] == 1 and s[2] < 3 and (s[0] == 0 or s[1] < 3) else BREAK if s[3] == 0 else BODY for s in self.seen
+        ]
+
+    def marks(self, model: LineModel) -> list[tuple[int, int, int, int | None, int | None]]:
+        """(block, line in it, state, key, number) of headers and page numbers: lines the model labels so, and that stand a check.
+
+        A header recurs, labelled so, on at least MIN_PAGES pages; a number is that of its page with the document's shift."""
+        states = model.label(self.seen)
+        pages: dict[int, set[int]] = {}
+        for s, i, k in zip(states, self.block, self.key):
+            if s == HEAD and k:
+                pages.setdefault(k[0], set()).add(self.blocks[i][1])
+        out, line, at = [], -1, -1
+        for s, i, k, n, f in zip(states, self.block, self.key, self.lone, self.seen):
+            line, at = (line + 1, at) if i == at else (0, i)
+            if s == HEAD and k and len(pages[k[0]]) >= MIN_PAGES:
+                out.append((i, line, HEAD, k[0], k[1]))
+            elif s == NUMBER and f[8] == 1:
+                out.append((i, line, NUMBER, None, n))
+        return out
+
+
+_STOPS = frozenset(".!?…:;,")
+
+
+def body_lines(blocks: list[str], marked: dict[tuple[int, int], tuple]) -> list[tuple[int, str]]:
+    """(block, text) of the lines that are neither header nor page number."""
+    return [(i, _HIDDEN.sub("", x)) for i, t in enumerate(blocks) for j, x in enumerate(t.split("\n")) if (i, j) not in marked]
+
+
+def breaks(body: list[tuple[int, str]]) -> Iterator[tuple[int, re.Match, list[tuple[int, re.Match]]]]:
+    """(body line, its broken word, where it may go on) of each line that ends in a hyphen.
+
+    A word broken within a block goes on at the next line; one broken at the end of a block at the next line, or, as nothing says how much stands between, at one of the first three lines of any later block that begins in the same case.
+    """
+    starts: list[tuple[int, re.Match, bool]] = []  # the first three lines of each block, with their first word, and whether that is in lower case
+    at, n = -1, 0
+    for q, (i, x) in enumerate(body):
+        at, n = (at, n + 1) if i == at else (i, 0)
+        if n < 3 and (r := _REST.match(x)):
+            starts.append((q, r, r[1][0].islower()))
+    order = [s[0] for s in starts]
+    for q, (i, x) in enumerate(body):
+        if not (m := _BREAK.search(x)):
+            continue
+        options = []
+        if q + 1 < len(body) and (r := _REST.match(body[q + 1][1])):
+            options.append((q + 1, r))
+        if q + 1 < len(body) and body[q + 1][0] != i:
+            low = not m[1].isupper()
+            options += [(q2, r) for q2, r, lower in starts[bisect_right(order, q + 1) :] if lower == low]
+        yield q, m, options
+
+
+def questions(texts: list[str], marks: list[tuple], common: frozenset[str]) -> tuple[set[str], set[str]]:
+    """(words of a document, wholes of broken words) that aren't common: what has to be asked of the lexicon."""
+    marked = {(b, j): m for b, j, *m in marks}
+    body = body_lines(texts, marked)
+    words = {m.group().lower() for t in texts for m in _TOKEN.finditer(_HIDDEN.sub("", t))}
+    wholes: set[str] = set()
+    for q, m, options in breaks(body):
+        a = m[1].lower()
+        for k, (_, r) in enumerate(options):
+            wholes.add(a + r[1].lower())
+            if k == 0:
+                wholes.add(f"{a}-{r[1].lower()}")
+                words.add(f"{a}-{r[1].lower()}")
+    words = {w for w in words if w not in common and not w.isdigit() and any(map(str.isalpha, w))}
+    return words, wholes - common
+
+
+def repair(words: Words, blocks: list[tuple[int, int, str]], marks: list[tuple], shift: int | None) -> list[tuple[int, set[str], str]]:
+    """(block_id, noise, text) of the blocks (block_id, page, text) of a document in order, given its headers and page numbers."""
+    marked = {(b, j): m for b, j, *m in marks}
     noise: list[set[str]] = [set() for _ in blocks]
     text: list[list[str]] = [[] for _ in blocks]
-    body = [k for k, s in enumerate(states) if s in (BODY, BROKEN)]
-    for k, s in enumerate(states):
-        i, x, _, n = lines[k]
-        if s == HEAD:
+    for (i, j), (state, _, n) in marked.items():
+        if state == HEAD:
             noise[i].add("header")
-            if n is not None and offset is not None and n - blocks[i][1] == offset:
+            if n is not None and shift is not None and n - blocks[i][1] == shift:
                 noise[i].add("page_no")
-            if _misread(words, x):
+            if _misread(words, _HIDDEN.sub("", blocks[i][2].split("\n")[j])):
                 noise[i].add("misread")
-        elif s == NUMBER:
+        else:
             noise[i].add("page_no")
-    firsts = [q for q, k in enumerate(body) if q and lines[body[q - 1]][0] != lines[k][0]]  # body lines that begin a block
+    body = body_lines([b[2] for b in blocks], marked)
     moved: dict[int, int] = {}  # body line -> characters that a word of an earlier line took
-    for q, k in enumerate(body):
-        i, x = lines[k][0], lines[k][1]
-        x = x[moved.pop(k, 0) :]
-        m = _BREAK.search(x)
-        if m:
-            options = [(k2, y, r) for k2, y in _followers(lines, body, q) if (r := _REST.match(y))]
-            sure = [o for o in options if (w := (m[1] + o[2][1]).lower()) in words.lexicon or words.fix(w) in words.lexicon]
-            best = sure[0] if sure else options[0] if options else None
-            if not sure and (q + 1 == len(body) or lines[body[q + 1]][0] != i) and not (best and _goes_on(words, m[1], best[2][1])):
-                far = ((body[f], lines[body[f]][1]) for f in firsts[bisect_right(firsts, q + AHEAD) :])
-                best = next(((k2, y, r) for k2, y in far if (r := _REST.match(y)) and r[1].islower() and (m[1] + r[1]).lower() in words.lexicon), best)
-            if best and broken(words, m[1], best[2][1]):
-                k2, _, r = best
-                noise[i].add("hyphen")
-                x = x[: m.start()] + m[1] + r[1]
-                moved[k2] = r.end()
-            elif best and lines[best[0]][0] == i and f"{m[1]}-{best[2][1]}".lower() in words.lexicon:
-                k2, y, r = best  # a compound: keep its hyphen, drop the line break
-                x = x[: m.end(2)] + y[: r.end()].strip()
-                moved[k2] = r.end()
-        text[i].append(x)
+    joins: dict[int, tuple[int, str]] = {}  # body line -> where its broken word begins, what stands for it
+    for q, m, options in breaks(body):
+        if not options:
+            continue
+        a = m[1]
+        near = options[0]
+        best = next((o for o in options if o[0] not in moved and words.means((a + o[1][1]).lower())), near if near[0] == q + 1 else None)
+        if best is None or best[0] in moved or m.start() < moved.get(q, 0):
+            continue
+        r = best[1]
+        if broken(words, a, r[1]):
+            noise[body[q][0]].add("hyphen")
+            joins[q] = (m.start(), a + r[1])
+            moved[best[0]] = r.end()
+        elif body[best[0]][0] == body[q][0] and words.known(f"{a}-{r[1]}".lower()):
+            joins[q] = (m.start(), f"{a}{m[2]}{r[1]}")  # a compound: keep its hyphen, drop the line break
+            moved[best[0]] = r.end()
+    for q, (i, x) in enumerate(body):
+        if q in joins:
+            x = x[: joins[q][0]] + joins[q][1]
+        text[i].append(x[moved.get(q, 0) :])
     out = []
     for (block, _, _), kinds, ls in zip(blocks, noise, text):
         joined = " ".join(x.strip() for x in ls if x.strip())
-        fixed = _misread(words, joined)
-        if fixed:
+        if fixed := _misread(words, joined):
             kinds.add("misread")
             joined = fixed
         out.append((block, kinds, joined))
     return out
 
 
-#: Lines looked ahead for any line with the rest of a word that is broken at the end of a block; after them, to the end of the document, only
-#: lines that begin a block are, and only where no line before them may hold the rest.
-AHEAD = 40
-
-
-def _followers(lines: list[list], body: list[int], q: int) -> Iterator[tuple[int, str]]:
-    """The body lines on which a word broken at body line q may go on: the next line of the block, or lines of the next blocks."""
-    i = lines[body[q]][0]
-    if q + 1 < len(body) and lines[body[q + 1]][0] == i:
-        yield body[q + 1], lines[body[q + 1]][1]
-        return
-    for k in body[q + 1 : q + 1 + AHEAD]:
-        yield k, lines[k][1]
-
-
-def _goes_on(words: Words, left: str, right: str) -> bool:
-    """Whether right continues left, as one word or as a compound of the lexicon."""
-    return f"{left}-{right}".lower() in words.lexicon or broken(words, left, right)
-
-
 _HEADED = re.compile(r"[^\W\d_]{2,}(?:-[^\W\d_]+)*\d{1,2}")
 
 
 def _misread(words: Words, text: str) -> str | None:
-    """text with its misread words corrected, or None if there are none; text of few known words is left alone."""
-    from parchflow.llm.encoding import restore
-    from parchflow.llm.normal import readable
-
-    tokens = list(_TOKEN.finditer(text))
-    lex = words.lexicon
+    """text with its misread words corrected, or None if there are none; text of few known words is no text to correct."""
+    tokens = [m for m in _TOKEN.finditer(text) if not m.group().isdigit()]
     low = [m.group().lower() for m in tokens]
-    odd = [k for k, w in enumerate(low) if w not in lex]
-    known = len(low) - len(odd)
-    if not odd or known * 4 < len(low):
+    odd = [(k, a) for k, w in enumerate(low) if w not in words.common and (a := words.odd(w))]
+    if not odd or (len(low) - len(odd)) * 4 < len(low):
         return None
-    fixes = [(k, f) for k in odd if (f := words.fix(low[k]))]
+    fixes = [(k, a[1]) for k, a in odd if a[1]]
     if not fixes:
         return None
     if not text.isascii():
         if restore(text)[1]:
             return None
-        fixes = [(k, f) for k, f in fixes if readable(low[k]) == low[k] or readable(low[k]) not in lex]
+        fixes = [(k, f) for k, f in fixes if (r := readable(low[k])) == low[k] or not words.known(r)]
     # words and numbers set together, as in the head of a table, are no misreading
     if sum(bool(_HEADED.fullmatch(w)) for w in low) >= 3:
         fixes = [(k, f) for k, f in fixes if not _HEADED.fullmatch(low[k])]
@@ -342,96 +494,95 @@ def _misread(words: Words, text: str) -> str | None:
     return "".join([*out, text[at:]])
 
 
-#: A word outside the lexicon's common ones may be a misreading that recurs: it is left out if a reading of it is TIMES as frequent;
-#: words are only corrected to one that is common, or AS_RARE times as frequent as the rarest one of the lexicon.
-TIMES, AS_RARE = 20, 4
+# --- the collection's words
 
+#: A word is common with a COMMON-th of all words (there are at most COMMON such words) and SEEN times or more; others are known if seen SEEN
+#: times or more, unless a reading of them is TIMES as frequent. Words are corrected to those seen ENOUGH times, or common.
+COMMON, SEEN, TIMES, ENOUGH = 50_000, 5, 20, 20
 
-def collection_words(blocks: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
-    """(lexicon, trigrams): counts over all blocks of the LEXICON most frequent words seen five times or more, and of the trigrams of all words, each word counting once.
 
-    Of the words with less than a 1/LEXICON of all words those that read as a far more frequent one are no words of the lexicon.
-    """
-    w = blocks.select(F.explode(F.regexp_extract_all(F.lower("raw_text"), F.lit(WORDS), 0)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    w = cut(w.where("length(w) <= 40"))
-    total = w.agg(F.sum("n")).first()[0] or 0
-    common = math.ceil(total / LEXICON)
-    every = {r.w: r.n for r in cut(w.where("n >= 5").orderBy(F.col("n").desc(), "w").limit(LEXICON)).collect()}
-    lexicon = {x: n for x, n in every.items() if n >= common or not any(every.get(y, 0) >= TIMES * n for y in readings(x))}
-    grams = w.where("length(w) >= 2 and n >= 2").select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("w")).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, F.lit(3)))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    # of trigrams the most common, so that the bound holds whatever the alphabet
-    return lexicon, {r.g: r.n for r in grams.orderBy(F.col("n").desc(), "g").limit(TRIGRAMS).collect()}
-
-
-def scanned(blocks: DataFrame, structures: DataFrame) -> DataFrame:
-    """The blocks of ocr_fallback documents: doc_id, block_id, site, page, ord, t."""
-    ids = structures.where("strategy = 'ocr_fallback' and doc_id is not null").select("doc_id").distinct()
-    b = blocks.where("block_id is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("block_id").cast("long").alias("block_id"), "site", F.col("page_number").cast("int").alias("page"), F.col("block_ord").cast("int").alias("ord"), F.coalesce("raw_text", F.lit("")).alias("t"))
-    return b.join(ids, "doc_id", "left_semi")
+def collection_words(blocks: DataFrame) -> DataFrame:
+    """(w, n): all words of all blocks and how often each is seen; materialised."""
+    w = blocks.select(F.explode(F.regexp_extract_all(F.lower("raw_text"), F.lit(WORDS), 0)).alias("w"))
+    return cut(w.groupBy("w").agg(F.count("*").alias("n")))
 
 
-def _candidates(b: dict) -> dict:
-    out: dict[str, list] = {k: [] for k in ("doc_id", "site", "page", "key", "line", "number", "lone")}
+def _gram_counts(b: dict) -> dict:
+    counts = Counter(xxhash.xxh32_intdigest(s[i : i + 3]) % BUCKETS for w in b["w"] for s in (f" {w} ",) for i in range(len(s) - 2))
+    return {"g": list(counts), "c": list(counts.values())}
 
-    def add(i: int, key: int | None, line: str | None, n: int | None, lone: bool) -> None:
-        for name, v in zip(out, (b["doc_id"][i], b["site"][i], b["page"][i], key, line, n, lone)):
-            out[name].append(v)
 
-    for i, (page, t) in enumerate(zip(b["page"], b["t"])):
-        if page is None:
-            continue
-        parts = t.split("\n")
-        for j in sorted({0, 1, len(parts) - 2, len(parts) - 1} & set(range(len(parts)))):
-            x = _HIDDEN.sub("", parts[j])
-            n = lone_number(x)
-            if n is not None:
-                add(i, None, None, n, True)
-            elif page >= 2 and (got := header_key(x)):
-                add(i, got[0], x, got[1], False)
+def trigram_counts(words: DataFrame) -> np.ndarray:
+    """Trigrams of all words seen twice or more, each word once, in BUCKETS hashed buckets."""
+    out = np.zeros(BUCKETS, np.int64)
+    grams = arrow_map(words.where("n >= 2 and length(w) >= 2").select("w"), _gram_counts, "g int, c long")
+    for r in grams.groupBy("g").agg(F.sum("c").alias("c")).collect():  # a row per bucket at most
+        out[r.g] = r.c
     return out
 
 
-def document_facts(ocr: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, keys, shift): the lines that recur on at least MIN_PAGES pages from page 2 on and aren't the site's, and the
-    constant of the page numbers (null if there are none)."""
-    c = cut(arrow_map(ocr.select("doc_id", "site", "page", "t"), _candidates, "doc_id long, site string, page int, key long, line string, number int, lone boolean"))
-    heads = c.where("key is not null").groupBy("doc_id", "key", "page").agg(F.first("site").alias("site"), F.min("line").alias("line")).groupBy("doc_id", "key").agg(F.count("*").alias("pages"), F.first("site").alias("site"), F.min("line").alias("line")).where(F.col("pages") >= MIN_PAGES)
-    nodes = boilerplate.support(blocks).select("site", "h")
-    heads = cut(heads.withColumn("h", F.xxhash64(boilerplate.line_key(F.col("line")))).join(nodes, ["site", "h"], "left_anti").select("doc_id", "key"))
-    with_number = c.where("number is not null and (lone or key is not null)").join(heads.withColumn("is_head", F.lit(True)), ["doc_id", "key"], "left").where("lone or is_head")
-    shifts = with_number.select("doc_id", "page", (F.col("number") - F.col("page")).alias("shift"), "number").distinct().groupBy("doc_id", "shift").agg(F.countDistinct("page").alias("n"), F.max("number").alias("top"))
-    shifts = shifts.where(f"n >= {MIN_PAGES} or top < 1000").groupBy("doc_id").agg(F.max_by("shift", F.struct("n", -F.abs("shift"))).alias("shift"))
-    keys = heads.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # the running headers of a document
-    return keys.join(shifts, "doc_id", "full_outer").select("doc_id", "keys", "shift")
+def answers(asked: DataFrame, words: DataFrame, trigrams: np.ndarray, common: int) -> DataFrame:
+    """(w, known, fix, sure) of distinct words w that aren't common: fix is what w was printed as, sure if that is a word of the collection.
 
+    Words and their readings are joined with the full lexicon; nothing of it is sent to tasks.
+    """
+    enough = min(ENOUGH, common)
+    targets = words.where(F.col("n") >= enough)
+    lengths = frozenset(r[0] for r in targets.select(F.length("w")).distinct().collect())  # a row per length of a word
+    grams = asked.sparkSession.sparkContext.broadcast(trigrams)
+
+    def read(b: dict) -> dict:
+        t = Trigrams(grams.value)
+        out: dict[str, list] = {k: [] for k in ("w", "n", "ord", "y")}
+        for w, n in zip(b["w"], b["n"]):
+            first, second, guess = proposals(w, t, lengths)
+            for ord_, ys in ((0, (guess,)), (1, first), (2, second)):
+                for y in ys:
+                    out["w"].append(w)
+                    out["n"].append(n)
+                    out["ord"].append(ord_)
+                    out["y"].append(y)
+        return out
 
-def repaired(blocks: DataFrame, structures: DataFrame) -> DataFrame:
-    """(doc_id, block_id, noise, normalized_text) of each block of ocr_fallback documents; noise is an array, empty without any.
+    counted = asked.join(words, "w", "left").select("w", F.coalesce("n", F.lit(0)).alias("n"))
+    rows = arrow_map(counted, read, "w string, n long, ord int, y string")
+    seen = targets.select(F.col("w").alias("y"), F.col("n").alias("ny"))
+    rows = rows.join(seen, "y", "left").where("ord = 0 or ny is not null")
+    best = lambda k: F.max(F.when(F.col("ord") == k, F.struct("ny", "y")))
+    g = rows.groupBy("w").agg(F.first("n").alias("n"), best(1).alias("one"), best(2).alias("two"), F.max(F.when(F.col("ord") == 0, F.col("y"))).alias("guess"))
+    known = (F.col("n") >= SEEN) & ~F.coalesce(F.col("one.ny") >= TIMES * F.col("n"), F.lit(False))
+    fix = F.coalesce("one.y", "two.y", "guess")
+    return g.select("w", known.alias("known"), F.when(~known, fix).alias("fix"), (~known & F.coalesce("one.y", "two.y").isNotNull()).alias("sure"))
+
+
+def scanned(blocks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The blocks of the documents named: doc_id, page, ord, block_id, site, t, x0, y0, x1, y1; boxes may be missing."""
+    b = blocks.where("block_id is not null and doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("page_number").cast("int").alias("page"), F.col("block_ord").cast("int").alias("ord"), F.col("block_id").cast("long").alias("block_id"), "site", F.coalesce("raw_text", F.lit("")).alias("t"),
+        *((F.col(c) if c in blocks.columns else F.lit(None)).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")),
+    )
+    return b.join(ids, "doc_id", "left_semi")
 
-    Null text counts as empty, repeated blocks once; blocks without a page are taken as of page 0 and have no header.
-    """
-    ship(blocks.sparkSession)
-    ocr = cut(scanned(blocks, structures))
-    facts = document_facts(ocr, blocks)
-    lexicon, trigrams = collection_words(blocks)
-    sent = blocks.sparkSession.sparkContext.broadcast((lexicon, trigrams))
-    cols = ("doc_id", "kind", "page", "ord", "block_id", "t", "keys", "shift")
-    none = {"keys": F.lit(None).cast("array<long>"), "shift": F.lit(None).cast("int")}
-    rows = ocr.withColumns({"kind": F.lit(1)} | none).select(*cols)
-    head = ocr.select("doc_id").distinct().join(facts, "doc_id").select("doc_id", F.lit(0).alias("kind"), F.lit(0).alias("page"), F.lit(0).alias("ord"), F.lit(0).cast("long").alias("block_id"), F.lit("").alias("t"), "keys", "shift")
-    every = rows.unionByName(head).repartition("doc_id").sortWithinPartitions("doc_id", "kind", "page", "ord", "block_id")
-    schema = pa.schema([("doc_id", pa.int64()), ("block_id", pa.int64()), ("noise", pa.list_(pa.string())), ("normalized_text", pa.string())])
+
+# --- the operator
+
+def partitions(df: DataFrame, rows: int) -> int:
+    """Tasks for work that is slow by row: several a core, and no more rows than ROWS in one."""
+    return max(3 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS))
+
+
+def by_document(df: DataFrame, tasks: int, order: list[str], fn: Callable[[int, list[tuple]], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """fn of (doc_id, its rows in order) for each document; a document is one group, documents are streamed."""
+    columns = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(*sent.value)
-        at, run_blocks, keys, shift = None, [], set(), None
-        out: list[list] = [[], [], [], []]
+        at, rows = None, []
+        out: list[list] = [[] for _ in schema]
 
         def close() -> None:
-            if run_blocks:
-                for block, kinds, text in repair(words, run_blocks, keys, shift):
-                    for c, v in zip(out, (at, block, sorted(kinds), text)):
-                        c.append(v)
+            for row in fn(at, rows):
+                for c, v in zip(out, row):
+                    c.append(v)
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema)], schema=schema)
@@ -440,20 +591,130 @@ def repaired(blocks: DataFrame, structures: DataFrame) -> DataFrame:
             return batch
 
         for batch in batches:
-            for doc, kind, page, _, block, t, ks, sh in zip(*(batch.column(i).to_pylist() for i in range(len(cols)))):
+            for doc, *row in zip(*(batch.column(i).to_pylist() for i in range(len(columns)))):
                 if doc != at:
-                    close()
-                    at, run_blocks, keys, shift = doc, [], set(), None
-                if kind == 0:
-                    keys, shift = set(ks or ()), sh
-                elif not run_blocks or run_blocks[-1][0] != block:
-                    run_blocks.append((block, page if page is not None else 0, t))
-            if len(out[0]) >= 2_000:
-                yield flush()
-        close()
+                    if rows:
+                        close()
+                        if len(out[0]) >= 5_000:
+                            yield flush()
+                    at, rows = doc, []
+                rows.append(tuple(row))
+        if rows:
+            close()
         yield flush()
 
-    return every.mapInArrow(run, "doc_id long, block_id long, noise array<string>, normalized_text string")
+    return df.repartition(tasks, "doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(run, ddl)
+
+
+def _as_document(rows: list[tuple]) -> tuple[Document, str | None]:
+    """Rows are (page, ord, block_id, site, t, x0, y0, x1, y1); a block that is repeated counts once."""
+    blocks: list[tuple] = []
+    for page, _, block, _, t, *box in rows:
+        if not blocks or blocks[-1][0] != block:
+            blocks.append((block, page if page is not None else 0, t, *box))
+    return Document(blocks), rows[0][3]
+
+
+def fit(ocr: DataFrame, tasks: int, documents: int) -> LineModel:
+    """The line model, counted on at most about SAMPLE_DOCS documents, chosen by hash, whose lines are labelled by recurrence.
+
+    Only counts come back: a row per state, feature and value."""
+    every = max(1, -(-documents // SAMPLE_DOCS))
+    sample = ocr.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+
+    def count(_: int, rows: list[tuple]) -> Iterator[tuple]:
+        d, _ = _as_document(rows)
+        states = d.taught()
+        c = Counter((s, f, v) for s, seen in zip(states, d.seen) for f, v in enumerate(seen))
+        c.update((s, -1, t) for s, t in zip(states, states[1:]))
+        return ((0, s, f, v, n) for (s, f, v), n in c.items())
+
+    schema = pa.schema([("doc_id", pa.int64()), ("s", pa.int32()), ("f", pa.int32()), ("v", pa.int32()), ("n", pa.int64())])
+    rows = by_document(sample, min(tasks, 64), ["page", "ord", "block_id"], count, schema, "doc_id long, s int, f int, v int, n long").groupBy("s", "f", "v").agg(F.sum("n").alias("n")).collect()
+    shown = [[[0.0] * n for n in SIZES] for _ in range(4)]
+    follows = [[0.0] * 4 for _ in range(4)]
+    for r in rows:
+        if r.f < 0:
+            follows[r.s][r.v] = r.n
+        else:
+            shown[r.s][r.f][r.v] = r.n
+    return LineModel(shown, follows)
+
+
+_MARK = pa.list_(pa.struct([("line", pa.int32()), ("state", pa.int32()), ("key", pa.int64()), ("number", pa.int32())]))
+_READ = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("block_id", pa.int64()), ("page", pa.int32()), ("ord", pa.int32()), ("t", pa.string()), ("site", pa.string()), ("key", pa.int64()), ("shift", pa.int32()), ("marks", _MARK)])
+_READ_DDL = "doc_id long, kind int, block_id long, page int, ord int, t string, site string, key long, shift int, marks array<struct<line:int,state:int,key:long,number:int>>"
+TEXT, WORD, WHOLE, HEADER = range(4)  # kinds of rows
+
+
+def read(ocr: DataFrame, tasks: int, model: LineModel, common: frozenset[str]) -> DataFrame:
+    """Of each document its blocks with the marks of their lines, the words to ask for, and its headers. Materialised, so that texts are read once."""
+    sent = ocr.sparkSession.sparkContext.broadcast((model, common))
+
+    def one(doc: int, rows: list[tuple]) -> Iterator[tuple]:
+        model, common = sent.value
+        d, site = _as_document(rows)
+        marks = d.marks(model)
+        by: dict[int, list] = {}
+        for b, *m in marks:
+            by.setdefault(b, []).append(tuple(m))
+        for i, b in enumerate(d.blocks):
+            yield doc, TEXT, b[0], b[1], i, b[2], None, None, d.shift, by.get(i)
+        heads = {m[3]: d.blocks[m[0]][2].split("\n")[m[1]] for m in marks if m[2] == HEAD}
+        for key, line in heads.items():
+            yield doc, HEADER, None, None, None, line, site, key, None, None
+        words, wholes = questions([b[2] for b in d.blocks], marks, common)
+        for kind, ws in ((WORD, words), (WHOLE, wholes)):
+            for w in ws:
+                yield doc, kind, None, None, None, w, None, None, None, None
+
+    return cut(by_document(ocr, tasks, ["page", "ord", "block_id"], one, _READ, _READ_DDL))
+
+
+def repaired(blocks: DataFrame, structures: DataFrame) -> DataFrame:
+    """(doc_id, block_id, noise, normalized_text) of each block of ocr_fallback documents; noise is an array, empty without any.
+
+    Null text counts as empty, repeated blocks once; blocks without a page are taken as of page 0 and have no header. Rows without a document or block id are left out.
+    """
+    ship(blocks.sparkSession)
+    ids = structures.where("strategy = 'ocr_fallback' and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    words = collection_words(blocks)
+    total = words.agg(F.sum("n")).first()[0] or 0
+    share = max(SEEN, -(-total // COMMON))
+    common = frozenset(r.w for r in words.where(F.col("n") >= share).select("w").collect()) if total else frozenset()  # at most COMMON words have such a share
+    ocr = scanned(blocks, ids)
+    documents, rows = ids.count(), blocks.count()
+    tasks = partitions(blocks, rows)
+    asked = read(ocr, tasks, fit(ocr, tasks, documents), common)
+    # headers that are lines of the site
+    heads = asked.where(F.col("kind") == HEADER).select("doc_id", "site", "key", F.xxhash64(boilerplate.line_key(F.col("t"))).alias("h"))
+    nodes = boilerplate.support(blocks, among=heads.select("site", "h").distinct()).select("site", "h")
+    sites = heads.join(nodes, ["site", "h"], "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("sites"))  # a row per running header of a document
+    # words
+    questions = asked.where(F.col("kind").isin(WORD, WHOLE)).select("doc_id", "kind", F.col("t").alias("w"))
+    got = answers(questions.select("w").distinct(), words, trigram_counts(words), share)
+    told = questions.join(got, "w").where((F.col("kind") == WORD) & ~F.col("known") | (F.col("kind") == WHOLE) & (F.col("known") | F.col("fix").isNotNull()))
+    told = told.groupBy("doc_id").agg(F.collect_set(F.struct("w", "known", "fix", "sure")).alias("told"))  # the odd words of a document
+    facts = told.join(sites, "doc_id", "full_outer")
+    text = asked.where(F.col("kind") == TEXT)
+    none = {"told": F.lit(None).cast("array<struct<w:string,known:boolean,fix:string,sure:boolean>>"), "sites": F.lit(None).cast("array<long>")}
+    cols = ("doc_id", "kind", "ord", "block_id", "page", "t", "shift", "marks", "told", "sites")
+    lead = facts.select("doc_id", F.lit(-1).alias("kind"), F.lit(-1).alias("ord"), F.lit(None).cast("long").alias("block_id"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("t"), F.lit(None).cast("int").alias("shift"), F.lit(None).cast(text.schema["marks"].dataType).alias("marks"), "told", "sites")
+    every = text.withColumns(none).select(*cols).unionByName(lead.select(*cols))
+    sent = blocks.sparkSession.sparkContext.broadcast(common)
+
+    def mend(doc: int, rows: list[tuple]) -> Iterator[tuple]:
+        known, sites = {}, set()
+        if rows[0][0] < 0:
+            known = {a["w"]: (a["known"], a["fix"], a["sure"]) for a in rows[0][7] or ()}
+            sites = set(rows[0][8] or ())
+            rows = rows[1:]
+        marks = [(i, m["line"], m["state"], m["key"], m["number"]) for i, r in enumerate(rows) for m in r[6] or () if m["state"] != HEAD or m["key"] not in sites]
+        for block, kinds, text in repair(Words(sent.value, known), [(r[2], r[3], r[4]) for r in rows], marks, rows[0][5] if rows else None):
+            yield doc, block, sorted(kinds), text
+
+    schema = pa.schema([("doc_id", pa.int64()), ("block_id", pa.int64()), ("noise", pa.list_(pa.string())), ("normalized_text", pa.string())])
+    return by_document(every, tasks, ["kind", "ord"], mend, schema, "doc_id long, block_id long, noise array<string>, normalized_text string")
 
 
 def noise(blocks: DataFrame, structures: DataFrame) -> DataFrame:
