@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchflow.llm.normal import LOOKALIKES, canonical
-from parchflow.runtime import arrow_map
+from parchflow.runtime import arrow_map, cut
 
 PAGES = ("cp1252", "mac_roman", "cp850", "cp437", "cp1251", "koi8_r", "cp866")
 # Letters beyond a-z of the languages of the collection, and marks of printed text.
@@ -67,10 +67,22 @@ def start(page: str) -> re.Pattern:
     return re.compile(f"[{_cls(m, 0xC2, 0xF3)}][{_cls(m, 0x80, 0xBF)}]")
 
 
-def _plausible(span: str, page: str, raw: str) -> bool:
-    if page in ("cp1251", "koi8_r", "cp866"):
+CYRILLIC_PAGES = ("cp1251", "koi8_r", "cp866")
+
+
+def _plausible(span: str, page: str, match: re.Match) -> bool:
+    """Whether a decoded span may have been written: all of its characters may, and what it was read as is no text that may stand by itself."""
+    raw = match.group()
+    if page in CYRILLIC_PAGES:
+        if not all(c in POSSIBLE or c in LOWER_MARKS or c in to_byte("cp1252") for c in span):
+            return False
+        if page != "cp1251" and raw.isalpha() and not all(c in MARKS for c in span):
+            # letters alone are odd only where they touch letters of another alphabet that they don't resemble
+            text, at, end = match.string, match.start(), match.end()
+            beside = (text[at - 1] if at else " ") + (text[end] if end < len(text) else " ")
+            return any(c.isascii() and c.isalpha() for c in beside) and not any(c in LOOKALIKES for c in raw)
         # one pair of Cyrillic letter and mark or space is common in Russian text
-        return all(c in POSSIBLE or c in LOWER_MARKS or c in to_byte("cp1252") for c in span) and any(c.isalpha() or c in "–—“”’" for c in span) and not re.fullmatch("[А-Яа-яё][\xa0«»]", raw)
+        return any(c.isalpha() or c in "–—“”’" for c in span) and not re.fullmatch("[А-Яа-яё][\xa0«»]", raw)
     if page != "cp1252" and len(span) < 3 and raw.isalpha() and any("Ѐ" <= c <= "ӿ" for c in span):
         return False
     return all(c in POSSIBLE or c in to_byte("cp1252") or c in to_byte("mac_roman") or c in to_byte("cp850") or c in to_byte("cp437") for c in span)
@@ -78,28 +90,35 @@ def _plausible(span: str, page: str, raw: str) -> bool:
 
 LOWER_MARKS = frozenset(" \n")
 UTF16 = re.compile(r"[\x01-\xff]\x00(?:[\x01-\xff]\x00|[\x00-\xff]\x20(?=[^\x00]\x00)|[\x00-\xff]\x04){3,}|(?:\x00[\x01-\xff]){4,}|(?:[\x00-\xff]\x04| \x00){5,}")
-#: Any character with which an encoding error can show; text without one is left at once.
-SUSPECT = re.compile("[\x00\x80-\x9f�]|[^\x00-\x7f]{2}|[^\\W_][^\x00-\x7f]|[^\x00-\x7f]")
+def _decoded(text: str, page: str) -> tuple[str, int]:
+    """(text with the well-formed spans of a page decoded, characters of them)."""
+    m, took = to_byte(page), 0
+
+    def decode(match: re.Match) -> str:
+        nonlocal took
+        raw = match.group()
+        span = bytes(m[c] for c in raw).decode("utf-8")
+        if not _plausible(span, page, match):
+            return raw
+        took += len(raw)
+        return span
+
+    return automaton(page).sub(decode, text), took
 
 
 def multibyte(text: str) -> str:
-    """text with its well-formed multibyte spans decoded, until none is left."""
-    for _ in range(4):
-        before = text
-        for page in ("cp1252", "mac_roman", "cp850", "cp437", "cp1251"):
-            if not start(page).search(text):
-                continue
-            m = to_byte(page)
-
-            def decode(match: re.Match, m=m, page=page) -> str:
-                raw = match.group()
-                span = bytes(m[c] for c in raw).decode("utf-8")
-                return span if _plausible(span, page, raw) else raw
-
-            text = automaton(page).sub(decode, text)
-        if text == before:
+    """text with its well-formed multibyte spans decoded, by the page first that explains most characters, until none is left: every
+    decoding shortens the text."""
+    while True:
+        best, most = text, 0
+        for page in PAGES:
+            if start(page).search(text):
+                new, took = _decoded(text, page)
+                if took > most:
+                    best, most = new, took
+        if not most:
             return text
-    return text
+        text = best
 
 
 def utf16(text: str) -> str:
@@ -171,6 +190,11 @@ def repage(read: str, true: str) -> dict[int, str]:
 PAIRS = tuple((r, t) for r in PAGES for t in ("cp1252", "mac_roman", "cp850", "cp1251", "koi8_r", "cp866") if r != t and not (r == "cp437" and t == "cp850"))
 
 
+def _known(words: list[str], table: dict[int, str], lexicon: frozenset[str]) -> int:
+    """How many of some words are words of the collection when read by a pair of pages."""
+    return sum(w.translate(table).strip(_EDGE).lower() in lexicon for w in words)
+
+
 def _fits(words: list[str], table: dict[int, str]) -> bool:
     for w in words:
         new = w.translate(table)
@@ -210,12 +234,13 @@ def swapped_cyrillic(text: str) -> str:
     return SENTENCE.sub(fix, text)
 
 
-def by_spans(text: str, odd: list[str]) -> str:
+def by_spans(text: str, odd: list[str], lexicon: frozenset[str] = frozenset()) -> str:
     """text of odd words for which no single pair does. A sentence is read by a pair under which all of its odd words are possible, of several
     by that which fits most odd words of the text; where no pair fits them all, its odd words are read one by one. Others stay."""
     fits = {w: [k for k, (r, t) in enumerate(PAIRS) if _fits([w], repage(r, t))] for w in dict.fromkeys(odd)}
     votes = Counter(k for w in odd for k in fits[w])
-    best = lambda ks: repage(*PAIRS[max(ks, key=lambda k: (votes[k], -k))])
+    heard = {k: _known(odd, repage(*PAIRS[k]), lexicon) for k in votes}
+    best = lambda ks: repage(*PAIRS[max(ks, key=lambda k: (heard[k], votes[k], -k))])
 
     def fix(m: re.Match) -> str:
         s = m.group()
@@ -228,26 +253,26 @@ def by_spans(text: str, odd: list[str]) -> str:
     return SENTENCE.sub(fix, text)
 
 
-def single_byte(text: str) -> str:
-    """text with the spans of odd words read by the pair of pages under which all of them are possible, else span by span."""
+def single_byte(text: str, lexicon: frozenset[str] = frozenset()) -> str:
+    """text with the spans of odd words read by the pair of pages under which all of them are possible, of several such pairs
+    that which gives most words of the collection; where there is none, span by span."""
     plain = INVISIBLE.sub("", text)
     odd = odd_words(plain)
     c1 = re.search("[\x80-\x9f]", plain)
     if not odd and not c1:
         return text
-    mixed = [w for w in odd if not _odd(canonical(w).strip(_EDGE)) or _lookalike(w)]
-    odd = [w for w in odd if w not in mixed]
+    odd = [w for w in odd if _odd(canonical(w).strip(_EDGE)) and not _lookalike(w)]
     if odd:
-        for read, true in PAIRS:
-            if _fits(odd, repage(read, true)):
-                table = repage(read, true)
+        fit = [repage(r, t) for r, t in PAIRS if _fits(odd, repage(r, t))]
+        if fit:
+            table = max(fit, key=lambda t: _known(odd, t, lexicon)) if len(fit) > 1 and lexicon else fit[0]
 
-                def fix(m: re.Match) -> str:
-                    s = m.group()
-                    return s.translate(table) if any(w in s for w in odd) else s
+            def fix(m: re.Match) -> str:
+                s = m.group()
+                return s.translate(table) if any(w in s for w in odd) else s
 
-                return SENTENCE.sub(fix, text)
-        if (new := by_spans(text, odd)) != text:
+            return SENTENCE.sub(fix, text)
+        if (new := by_spans(text, odd, lexicon)) != text:
             return new
     if c1:
         new = re.sub("[\x80-\x9f]", lambda m: repage("cp1252", "cp1252").get(ord(m.group()), m.group()), text)
@@ -261,40 +286,88 @@ def _lookalike(w: str) -> bool:
     return bool(foreign) and bool(re.search("[A-Za-zÀ-ÿ]", w)) and all(c in LOOKALIKES for c in foreign)
 
 
-def restore(text: str | None) -> tuple[str | None, bool]:
-    """(the text restored as far as can be, whether some of it was decoded wrongly)."""
+#: How the text of a row was found to be decoded wrongly.
+MULTIBYTE, UTF_16, SINGLE, LOST = "multibyte", "utf16", "single_byte", "lost"
+
+
+def restore_by(text: str | None, lexicon: frozenset[str] = frozenset()) -> tuple[str | None, list[str]]:
+    """(the text restored as far as can be, the ways in which it was found to be decoded wrongly)."""
     if not text or (text.isascii() and "\x00" not in text):
-        return text, False
-    new = utf16(text) if "\x00" in text else text
-    if new.isascii():
-        return new, new != text
-    lost = "�" in new
-    new = multibyte(new)
-    if CASE_TURN.search(new) or NOT_RUSSIAN.search(new):
-        new = swapped_cyrillic(new)
-    plain = INVISIBLE.sub("", new)
+        return text, []
+    ways = []
+
+    def step(way: str, new: str) -> str:
+        if new != text and way not in ways:
+            ways.append(way)
+        return new
+
+    if "\x00" in text:
+        text = step(UTF_16, utf16(text))
+        if text.isascii():
+            return text, ways
+    if "�" in text:
+        ways.append(LOST)
+    text = step(MULTIBYTE, multibyte(text))
+    if CASE_TURN.search(text) or NOT_RUSSIAN.search(text):
+        text = step(SINGLE, swapped_cyrillic(text))
+    plain = INVISIBLE.sub("", text)
     if any(x.search(plain) for x in _FAST):
-        new = single_byte(new)
-    return new, new != text or lost
+        text = step(SINGLE, single_byte(text, lexicon))
+    return text, ways
+
+
+def restore(text: str | None) -> tuple[str | None, bool]:
+    """(the text restored as far as can be, whether some of it was decoded wrongly)."""
+    new, ways = restore_by(text)
+    return new, bool(ways)
+
+
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def is_sure(before: str, after: str, ways: list[str], lexicon: frozenset[str]) -> bool:
+    """Whether a text is restored for certain: no bytes are lost, no word is odd, and words that were read by another single-byte page are words of the collection."""
+    if LOST in ways or "�" in after or odd_words(INVISIBLE.sub("", after)):
+        return False
+    if SINGLE not in ways:
+        return True
+    old = set(_WORD.findall(before))
+    return all(w.lower() in lexicon for w in set(_WORD.findall(after)) - old if not w.isascii())
+
+
+#: Words with letters beyond a-z that make at least a COMMON-th of all words: at most COMMON.
+COMMON = 50_000
+
+
+def common_words(blocks: DataFrame, text: str = "raw_text") -> frozenset[str]:
+    """The collection's common words with letters beyond a-z, in lower case: what a right page gives."""
+    w = blocks.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    w = cut(w.where("n > 1"))
+    total = w.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r.w for r in w.where(F.col("n") * COMMON >= total).where(F.col("w").rlike(r"[^\x00-\x7f]")).select("w").collect())
 
 
-def restored(blocks: DataFrame, text: str = "raw_text", key: str = "block_id") -> DataFrame:
-    """(key, restored_text, restorable) of the affected rows, one row per input row: restorable is false where bytes
-    are lost. Rows with a null key or text are none; empty text is never affected."""
+def restored(blocks: DataFrame, text: str = "raw_text", key: str = "block_id", lexicon: frozenset[str] | None = None) -> DataFrame:
+    """(key, restored_text, restorable, path) of the affected rows, one row per input row: path names the ways in which a row was found (the
+    automaton over multibyte spans; UTF-16; another single-byte page; lost bytes), restorable is true where the original is sure. Rows with a null
+    key or text are none; empty text is never affected. Rows of plain ASCII aren't sent to Python."""
+    sent = blocks.sparkSession.sparkContext.broadcast(common_words(blocks, text) if lexicon is None else lexicon)
 
     def run(b: dict) -> dict:
-        out: dict[str, list] = {key: [], "restored_text": [], "restorable": []}
+        out: dict[str, list] = {key: [], "restored_text": [], "restorable": [], "path": []}
         for k, t in zip(b[key], b[text]):
-            new, bad = restore(t)
-            if bad and k is not None:
+            new, ways = restore_by(t, sent.value)
+            if ways:
                 out[key].append(k)
                 out["restored_text"].append(new)
-                out["restorable"].append("�" not in new)
+                out["restorable"].append(is_sure(t, new, ways, sent.value))
+                out["path"].append("+".join(ways))
         return out
 
-    return arrow_map(blocks.select(F.col(key).cast("long").alias(key), text), run, f"{key} long, restored_text string, restorable boolean")
+    rows = blocks.where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x01-\x7f]")).select(F.col(key).cast("long").alias(key), text)
+    return arrow_map(rows, run, f"{key} long, restored_text string, restorable boolean, path string")
 
 
 def garbled(blocks: DataFrame, text: str = "raw_text", key: str = "block_id") -> DataFrame:
-    """Distinct keys of the affected rows."""
-    return restored(blocks, text, key).select(key).distinct()
+    """Distinct keys of the affected rows. Which page restores a row doesn't matter here, so that no lexicon is counted."""
+    return restored(blocks, text, key, frozenset()).select(key).distinct()

@@ -9,6 +9,7 @@ executors in blocks of at most BLOCK_WORDS words, and every text is read against
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -36,9 +37,11 @@ _SPLIT = {n: " " for n in range(128) if not chr(n).isalnum()}
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters and digits in lower case."""
+    """Runs of letters and digits in lower case, accents composed."""
     text = plain(text).lower()
-    return text.translate(_SPLIT).split() if text.isascii() else WORD.findall(text)
+    if text.isascii():
+        return text.translate(_SPLIT).split()
+    return WORD.findall(text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text))
 
 
 def rolling(ids: np.ndarray, k: int) -> np.ndarray:
@@ -141,10 +144,22 @@ class Index:
         return tiles, int(marked_i.sum()), longest
 
 
-def leaks(documents: DataFrame, items: DataFrame, k: int = K, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, item_id, tiles, words, coverage, longest): items with at least k words in a row in a text.
+#: Indexes of this process by broadcast, so that the tasks of an executor's Python process build each once; one is kept.
+_indexes: dict[int, Index] = {}
 
-    coverage is the share of the item's words in tiles, so that reordered passages count in full. Texts or items
+
+def _index(sent, k: int) -> Index:
+    at = id(sent.value)
+    if at not in _indexes:
+        _indexes.clear()
+        _indexes[at] = Index(sent.value, k)
+    return _indexes[at]
+
+
+def leaks(documents: DataFrame, items: DataFrame, k: int = K, min_coverage: float = 0.0, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, item_id, tiles, words, coverage, longest): items that tile a text with at least min_coverage of their words, in tiles of at least k words.
+
+    coverage is the share of the item's words in tiles, so that reordered passages count in full; with min_coverage 0 one tile is enough. Texts or items
     that are null, empty or shorter than k words share nothing; a repeated key gives a row per row of documents.
     """
     pairs = items.select(F.col("item_id").cast("long"), F.col("text")).where("item_id is not null and text is not null").toLocalIterator()
@@ -154,15 +169,14 @@ def leaks(documents: DataFrame, items: DataFrame, k: int = K, text: str = "text"
     def scan(block: list[tuple[int, str]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
 
-        def run(b: dict, cache: dict = {}) -> dict:  # noqa: B006
-            if "index" not in cache:
-                cache["index"] = Index(sent.value, k)
-            index = cache["index"]
+        def run(b: dict) -> dict:
+            index = _index(sent, k)
             rows: dict[str, list] = {n: [] for n in ("doc_id", "item_id", "tiles", "words", "coverage", "longest")}
             for d, t in zip(b["doc_id"], b["t"]):
                 for item, tiles, n, longest in index.tiles(t):
-                    for name, v in zip(rows, (d, item, tiles, n, n / len(index.items[item]), longest)):
-                        rows[name].append(v)
+                    if tiles and n >= min_coverage * len(index.items[item]):
+                        for name, v in zip(rows, (d, item, tiles, n, n / len(index.items[item]), longest)):
+                            rows[name].append(v)
             return rows
 
         return arrow_map(docs, run, "doc_id long, item_id long, tiles int, words int, coverage double, longest int")
@@ -178,6 +192,6 @@ def leaks(documents: DataFrame, items: DataFrame, k: int = K, text: str = "text"
     return out
 
 
-def leaked(documents: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, k: int = K, min_coverage: float = 0.0) -> DataFrame:
     """Distinct (doc_id, item_id)."""
-    return leaks(documents, items, k).select("doc_id", "item_id").distinct()
+    return leaks(documents, items, k, min_coverage).select("doc_id", "item_id").distinct()

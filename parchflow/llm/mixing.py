@@ -9,38 +9,46 @@ from __future__ import annotations
 
 import base64
 import os
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchflow.runtime import arrow_map, cut
+from parchflow.runtime import arrow_map, cut, small
 
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
+# Fixed value: how that vocabulary cuts texts into pieces.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents of a bucket of the prefix sums; a bucket is one group of one task.
 BUCKET_ROWS = 50_000
 
 
-@lru_cache(maxsize=1)
-def tokenizer(folder: str, vocabulary: str):
-    import importlib.util
+#: Tokenizers of this process by broadcast; one is kept.
+_tokenizers: dict[int, object] = {}
 
-    import tiktoken
 
+def vocabulary_ranks(folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> dict[bytes, int]:
+    """The ranks of a vocabulary file, read on the driver; a file of fixed size."""
     with open(os.path.join(folder, vocabulary), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    spec = importlib.util.spec_from_file_location("vocabulary_folder", os.path.join(folder, "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def _tokenizer(sent, pattern: str):
+    import tiktoken
+
+    at = id(sent.value)
+    if at not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[at] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
+    return _tokenizers[at]
 
 
-def token_counts(documents: DataFrame, text: str = "text", folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens): source trimmed and in lower case; null or empty text has no tokens."""
+def token_counts(documents: DataFrame, text: str = "text", folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, source, tokens): source trimmed and in lower case; null or empty text has no tokens. The vocabulary is sent to the executors, which need no such folder."""
+    sent = documents.sparkSession.sparkContext.broadcast(vocabulary_ranks(folder, vocabulary))
 
     def run(b: dict) -> dict:
-        t = tokenizer(folder, vocabulary)
+        t = _tokenizer(sent, pattern)
         return {"doc_id": b["doc_id"], "source": b["source"], "tokens": [len(t.encode_ordinary(x)) if x else 0 for x in b["t"]]}
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("source")).alias("source"), F.col(text).alias("t")).where("doc_id is not null")
@@ -72,7 +80,7 @@ def copies(sized: DataFrame, rate: DataFrame, seed: int = 17, rows: int | None =
     sized is one row per document. Whole rates are exact: each document gets as many copies.
     """
     n = max(1, -(-(rows if rows is not None else sized.count()) // bucket_rows))
-    docs = sized.join(F.broadcast(rate.where("rate > 0").select("source", "rate")), "source")  # one row per target
+    docs = sized.join(small(rate.where("rate > 0").select("source", "rate")), "source")
     docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n)))
     sizes = docs.groupBy("source", "bucket").agg(F.count("*").alias("c"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # n rows a source
@@ -93,10 +101,11 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     rate = cut(rates(sized, targets, total_tokens))
     got = copies(sized, rate, seed)
     taken = got.groupBy("source").agg(F.sum("copies").alias("copies"), F.max("copies").alias("most_repeats"), F.sum(F.col("copies") * F.col("tokens")).alias("mixed_tokens"), F.sum((F.col("copies") > 0).cast("long")).alias("docs_used"))
-    other = sized.join(F.broadcast(rate.select("source")), "source", "left_anti").groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
+    other = sized.join(small(rate.select("source")), "source", "left_anti").groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
     rows = rate.unionByName(other.select("source", F.lit(0.0).alias("target_share"), F.lit(0).alias("max_repeats"), "docs", "tokens", F.lit(0.0).alias("rate")))
     taken = taken.withColumnRenamed("source", "taken_source")
-    report = rows.join(F.broadcast(taken), F.col("source").eqNullSafe(F.col("taken_source")), "left").drop("taken_source").fillna(0, ["copies", "most_repeats", "mixed_tokens", "docs_used"])
-    whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # a row per source
+    report = rows.join(taken, F.col("source").eqNullSafe(F.col("taken_source")), "left").drop("taken_source").fillna(0, ["copies", "most_repeats", "mixed_tokens", "docs_used"])
+    report = cut(report)  # a row per source
+    whole = F.lit(report.agg(F.sum("mixed_tokens")).first()[0] or 0)
     report = report.withColumn("share", F.when(whole > 0, F.col("mixed_tokens") / whole).otherwise(0.0))
     return got, report.select("source", "docs", "tokens", "target_share", "max_repeats", F.col("rate").alias("repeats"), "docs_used", "copies", "most_repeats", "mixed_tokens", "share")

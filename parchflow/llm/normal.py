@@ -159,23 +159,44 @@ def _keys(b: dict) -> dict:
     return out
 
 
-def lookalike_pairs(blocks: DataFrame, text: str = "raw_text", key: str = "block_id", full: int | None = None) -> DataFrame:
-    """(block_id_a, block_id_b): rows whose text differs while its form is equal.
+#: Parts that each class is split into, so that a class of very many rows isn't one task.
+SALTS = 32
+
+
+def _classes(blocks: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, variants, classes): (id, form, form2, raw), materialised; (form, form2, raw, rep, n); and, of classes with more than one variant, (form, form2, v, all, class_id).
 
-    Rows of equal form make a class, rows of equal text in it a variant. All pairs across variants are listed,
-    whatever the size of the class. Only where `full` is given, a class of more rows pairs each row with the first
-    row of every other variant. Null, empty and
-    invisible texts belong to no class; repeated rows count once. Only 32 bytes a row are shuffled.
+    Rows of equal form make a class, rows of equal text in it a variant, whose representative is its least id.
     """
     rows = arrow_map(blocks.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), _keys, "id long, form long, form2 long, raw long")
     rows = cut(rows.dropDuplicates())
     variants = rows.groupBy("form", "form2", "raw").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    classes = variants.groupBy("form", "form2").agg(F.count("*").alias("v"), F.sum("n").alias("n")).where("v > 1").select("form", "form2", (F.lit(True) if full is None else F.col("n") <= full).alias("all"))
-    members = rows.join(classes, ["form", "form2"])
-    members = cut(members)
-    few, many = members.where("all"), members.where(~F.col("all"))
-    a, b = few.select("form", "form2", F.col("id").alias("block_id_a"), F.col("raw").alias("ra")), few.select("form", "form2", F.col("id").alias("block_id_b"), F.col("raw").alias("rb"))
-    pairs = a.join(b, ["form", "form2"]).where("block_id_a < block_id_b and ra <> rb").select("block_id_a", "block_id_b")
-    reps = many.groupBy("form", "form2", "raw").agg(F.min("id").alias("rep")).select("form", "form2", "rep", F.col("raw").alias("rr"))
-    far = many.join(reps, ["form", "form2"]).where("raw <> rr").select(F.least("id", "rep").alias("block_id_a"), F.greatest("id", "rep").alias("block_id_b"))
-    return pairs.unionByName(far).distinct()
+    classes = variants.groupBy("form", "form2").agg(F.count("*").alias("v"), F.sum("n").alias("all"), F.min("rep").alias("class_id")).where("v > 1")
+    return rows, variants, classes
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def lookalike_pairs(blocks: DataFrame, text: str = "raw_text", key: str = "block_id") -> DataFrame:
+    """(block_id_a, block_id_b): rows whose text differs while its form is equal.
+
+    Rows of equal form make a class, rows of equal text in it a variant. Each row is paired with the least id of every other variant of its class,
+    whatever the size of the class: no link between different texts is lost, copies aren't expanded into all pairs; lookalike_classes
+    gives what else belongs together. Null, empty and invisible texts belong to no class; repeated rows count once. Only 32 bytes a row are shuffled, and every class in SALTS parts.
+    """
+    rows, variants, classes = _classes(blocks, text, key)
+    reps = cut(variants.join(classes.select("form", "form2"), ["form", "form2"]).select("form", "form2", "rep", F.col("raw").alias("other")))
+    part = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    far = part.join(_salted(reps), ["form", "form2", "salt"]).where("raw <> other")
+    return far.select(F.least("id", "rep").alias("block_id_a"), F.greatest("id", "rep").alias("block_id_b")).distinct()
+
+
+def lookalike_classes(blocks: DataFrame, text: str = "raw_text", key: str = "block_id") -> DataFrame:
+    """(block_id, class_id, variant_id, variants, links), a row per row that looks like one with another text: class_id is the least id of the class,
+    variant_id that of the rows with the same text, links the number of rows that look the same but differ. Rows as in lookalike_pairs."""
+    rows, variants, classes = _classes(blocks, text, key)
+    of = cut(variants.join(classes, ["form", "form2"]).select("form", "form2", "raw", "class_id", F.col("rep").alias("variant_id"), F.col("v").alias("variants"), (F.col("all") - F.col("n")).alias("links")))
+    part = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return part.join(_salted(of), ["form", "form2", "raw", "salt"]).select(F.col("id").alias("block_id"), "class_id", "variant_id", "variants", "links")

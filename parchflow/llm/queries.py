@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": lambda s, d: scan.noise(blocks(s, d), structures(s, d)),
     "p2_paragraphs": lambda s, d: scan.paragraphs(blocks(s, d), structures(s, d)),
     "p3_found": lambda s, d: normal.lookalike_pairs(blocks(s, d)),
+    "p3_classes": lambda s, d: normal.lookalike_classes(blocks(s, d)),
     "p3_normalized": lambda s, d: normal.normalize(blocks(s, d)).distinct(),
     "p4_found": lambda s, d: boilerplate.repeated_lines(blocks(s, d)),
     "p4_blocks": lambda s, d: boilerplate.boilerplate_blocks(blocks(s, d)),
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_restored": lambda s, d: encoding.restored(blocks(s, d)).distinct(),
     "p7_found": lambda s, d: leakage.leaked(documents(s, d), table(s, d, "eval_items")),
     "p7_report": lambda s, d: leakage.leaks(documents(s, d), table(s, d, "eval_items")),
+    "p7_reordered": lambda s, d: leakage.leaks(documents(s, d), table(s, d, "eval_items"), k=6, min_coverage=0.5),
     "p8_mix": lambda s, d: mixing.mix(documents(s, d), table(s, d, "mix_targets"))[1],
     "p8_copies": lambda s, d: mixing.mix(documents(s, d), table(s, d, "mix_targets"))[0],
     "p9_found": lambda s, d: residue.residue_only(documents(s, d)),

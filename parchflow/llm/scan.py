@@ -87,15 +87,22 @@ def lone_number(line: str) -> int | None:
 
 def header_parts(line: str) -> tuple[str, int | None]:
     """(what recurs, number in it) of a line that may be a running header."""
+    ends = line.replace("|", " ").replace("·", " ").replace("—", " ").replace("–", " ").replace("-", " ").split()
+    if not ends or not (_ONE_NUM.fullmatch(ends[0]) or _ONE_NUM.fullmatch(ends[-1])):
+        return line, None
     for m, n, rest in ((_LEAD.fullmatch(line), 1, 2), (_TAIL.fullmatch(line), 2, 1)):
-        if m and (v := number(m[n])) is not None and (m[n][0].isdigit() or re.search(r"\s{2}|[|·—–]", line)) and sum(map(str.isalpha, m[rest])) >= LETTERS:
+        if m and (v := number(m[n])) is not None and (m[n][0].isdigit() or re.search(r"\s{2}|[|·—–]", line)) and _LETTERS.search(m[rest]):
             return m[rest], v
     return line, None
 
 
+_LETTERS = re.compile(r"(?:[^\W\d_].*?){%d}" % LETTERS, re.S)
+_ONE_NUM = re.compile(_NUM)
+
+
 def may_be_header(line: str) -> bool:
     """Whether a line could recur as a header: letters enough to be told from others, and no end of a sentence."""
-    return line.rstrip()[-1:] not in ".!?,;:-‐¬\xad" and sum(map(str.isalpha, line)) >= LETTERS
+    return line.rstrip()[-1:] not in ".!?,;:-‐¬\xad" and bool(_LETTERS.search(line))
 
 
 def _hash(s: str) -> int:
@@ -186,7 +193,20 @@ _NO = (False, None, False)
 _TOKEN = re.compile(r"(?:(?<!\S)!(?=[^\W\d_]))?[^\W_]+(?:[-’!][^\W\d_]+)*")
 _BREAK = re.compile(r"([^\W_]+(?:[-’][^\W_]+)*)([-‐­¬])[ \t]*$")
 _REST = re.compile(r"[ \t]*([^\W_]+)")
-_HIDDEN = re.compile("[​-‏⁠﻿￼\x00-\x08\x0b-\x1f]|\xad(?!\\s*$)")
+_HYPHENS = frozenset("-‐\xad¬")
+
+
+def _broken_word(line: str) -> re.Match | None:
+    """The match of a word that a hyphen at the end of the line breaks."""
+    return _BREAK.search(line) if line.rstrip(" \t")[-1:] in _HYPHENS and line else None
+
+
+_HIDDEN = re.compile("[​-‏⁠﻿￼\x00-\x08\x0b-\x1f]|\xad(?![^\\S\\n]*(?:\\n|$))")
+
+
+def _shown(text: str) -> str:
+    """text without hidden characters, line by line."""
+    return _HIDDEN.sub("", text)
 
 
 def broken(words: Words, left: str, right: str) -> bool:
@@ -284,10 +304,9 @@ class Document:
         self.lone: list[int | None] = []
         place: list[int] = []
         for i, b in enumerate(blocks):
-            parts = b[2].split("\n")
+            parts = _shown(b[2]).split("\n")
             last = len(parts) - 1
             for j, x in enumerate(parts):
-                x = _HIDDEN.sub("", x)
                 at = 0 if not last else 1 if j == 0 else 2 if j == last else 3 if j == 1 or j == last - 1 else 4
                 self.block.append(i)
                 self.text.append(x)
@@ -334,7 +353,7 @@ class Document:
         for i, x, at, k, n in zip(self.block, self.text, place, self.key, self.lone):
             s = x.strip()
             first, end = s[:1], s[-1:]
-            ends = 0 if _BREAK.search(x) else 1 if end in _STOPS and end else 2 if end else 3
+            ends = 0 if _broken_word(x) else 1 if end in _STOPS and end else 2 if end else 3
             starts = 0 if first.isupper() else 1 if first.islower() else 2 if first.isdigit() else 3
             size = 0 if len(s) <= 12 else 1 if len(s) <= 40 else 2 if len(s) <= 70 else 3
             recurs = 0 if k is None else min(self.pages[k[0]], 3)
@@ -350,8 +369,8 @@ class Document:
     def marks(self, model: LineModel) -> list[tuple[int, int, int, int | None, int | None]]:
         """(block, line in it, state, key, number) of headers and page numbers: lines the model labels so, and that stand a check.
 
-        A header recurs, labelled so, on at least MIN_PAGES pages; a number is that of its page with the document's shift."""
-        states = model.label(self.seen)
+        A header stands in the first or one of the last blocks of its page and recurs, labelled so, on at least MIN_PAGES pages; a number is that of its page with the document's shift."""
+        states = [BODY if s == HEAD and f[0] and f[1] == 3 else s for s, f in zip(model.label(self.seen), self.seen)]
         pages: dict[int, set[int]] = {}
         for s, i, k in zip(states, self.block, self.key):
             if s == HEAD and k:
@@ -371,7 +390,7 @@ _STOPS = frozenset(".!?…:;,")
 
 def body_lines(blocks: list[str], marked: dict[tuple[int, int], tuple]) -> list[tuple[int, str]]:
     """(block, text) of the lines that are neither header nor page number."""
-    return [(i, _HIDDEN.sub("", x)) for i, t in enumerate(blocks) for j, x in enumerate(t.split("\n")) if (i, j) not in marked]
+    return [(i, x) for i, t in enumerate(blocks) for j, x in enumerate(_shown(t).split("\n")) if (i, j) not in marked]
 
 
 def breaks(body: list[tuple[int, str]]) -> Iterator[tuple[int, re.Match, list[tuple[int, re.Match]]]]:
@@ -387,7 +406,7 @@ def breaks(body: list[tuple[int, str]]) -> Iterator[tuple[int, re.Match, list[tu
             starts.append((q, r, r[1][0].islower()))
     order = [s[0] for s in starts]
     for q, (i, x) in enumerate(body):
-        if not (m := _BREAK.search(x)):
+        if not (m := _broken_word(x)):
             continue
         options = []
         if q + 1 < len(body) and (r := _REST.match(body[q + 1][1])):
@@ -402,7 +421,7 @@ def questions(texts: list[str], marks: list[tuple], common: frozenset[str]) -> t
     """(words of a document, wholes of broken words) that aren't common: what has to be asked of the lexicon."""
     marked = {(b, j): m for b, j, *m in marks}
     body = body_lines(texts, marked)
-    words = {m.group().lower() for t in texts for m in _TOKEN.finditer(_HIDDEN.sub("", t))}
+    words = {w for t in texts for w in _TOKEN.findall(_shown(t).lower())}
     wholes: set[str] = set()
     for q, m, options in breaks(body):
         a = m[1].lower()
@@ -425,7 +444,7 @@ def repair(words: Words, blocks: list[tuple[int, int, str]], marks: list[tuple],
             noise[i].add("header")
             if n is not None and shift is not None and n - blocks[i][1] == shift:
                 noise[i].add("page_no")
-            if _misread(words, _HIDDEN.sub("", blocks[i][2].split("\n")[j])):
+            if _misread(words, _shown(blocks[i][2]).split("\n")[j]):
                 noise[i].add("misread")
         else:
             noise[i].add("page_no")
@@ -467,6 +486,9 @@ _HEADED = re.compile(r"[^\W\d_]{2,}(?:-[^\W\d_]+)*\d{1,2}")
 
 def _misread(words: Words, text: str) -> str | None:
     """text with its misread words corrected, or None if there are none; text of few known words is no text to correct."""
+    answers = words.answers
+    if not any(w in answers and answers[w][1] for w in _TOKEN.findall(text.lower())):
+        return None
     tokens = [m for m in _TOKEN.finditer(text) if not m.group().isdigit()]
     low = [m.group().lower() for m in tokens]
     odd = [(k, a) for k, w in enumerate(low) if w not in words.common and (a := words.odd(w))]
