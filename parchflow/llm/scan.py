@@ -341,12 +341,20 @@ class Document:
         for i, b in enumerate(self.blocks):
             by_page.setdefault(b[1], []).append(i)
         top, bottom = [2] * len(self.blocks), [3] * len(self.blocks)
+        self.edge = [False] * len(self.blocks)  # no block of several lines above, or none below, by boxes or by order
+        several = ["\n" in b[2] for b in self.blocks]
         for ids in by_page.values():
             boxed = all(self.blocks[i][4] is not None and self.blocks[i][6] is not None for i in ids)
-            for r, i in enumerate(sorted(ids, key=lambda i: self.blocks[i][4]) if boxed else ids):
-                top[i] = min(r, 2)
-            for r, i in enumerate(sorted(ids, key=lambda i: -self.blocks[i][6]) if boxed else ids[::-1]):
-                bottom[i] = min(r, 3)
+            down = sorted(ids, key=lambda i: self.blocks[i][4]) if boxed else ids
+            up = sorted(ids, key=lambda i: -self.blocks[i][6]) if boxed else ids[::-1]
+            for rank, most, order in ((top, 2, down), (bottom, 3, up)):
+                for r, i in enumerate(order):
+                    rank[i] = min(r, most)
+            for order in (down, up, ids, ids[::-1]):  # boxes overlap on skewed scans, so that order counts as well
+                for i in order:
+                    self.edge[i] = True
+                    if several[i]:
+                        break
         margin = min((b[3] for b in self.blocks if b[3] is not None), default=None)
         indent = [2 if b[3] is None or margin is None else int(b[3] - margin > 15) for b in self.blocks]
         self.seen: list[tuple] = []
@@ -369,8 +377,8 @@ class Document:
     def marks(self, model: LineModel) -> list[tuple[int, int, int, int | None, int | None]]:
         """(block, line in it, state, key, number) of headers and page numbers: lines the model labels so, and that stand a check.
 
-        A header stands in the first or one of the last blocks of its page and recurs, labelled so, on at least MIN_PAGES pages; a number is that of its page with the document's shift."""
-        states = [BODY if s == HEAD and f[0] and f[1] == 3 else s for s, f in zip(model.label(self.seen), self.seen)]
+        A header stands above or below all blocks of several lines but its own and recurs, labelled so, on at least MIN_PAGES pages; a number is that of its page with the document's shift."""
+        states = [BODY if s == HEAD and not self.edge[i] else s for s, i in zip(model.label(self.seen), self.block)]
         pages: dict[int, set[int]] = {}
         for s, i, k in zip(states, self.block, self.key):
             if s == HEAD and k:

@@ -165,12 +165,12 @@ def test_the_line_model_decides(spark, sf):
     one = lambda x: max(range(4), key=m.emission(x)[0].__getitem__)
     open_ = [x for x in itertools.product(*map(range, scan.SIZES)) if m.emission(x)[1] < 0]
     assert any(m.label([a, x, b])[1] != one(x) for x in open_[::97] for a in open_[:400:40] for b in open_[:400:40])
-    names = [a + b for a in ("alder", "birch", "cedar", "dogwood", "fir", "gorse", "hazel") for b in ("bank", "field", "gate", "hill", "lane", "moor", "pond", "rock", "side", "top", "vale", "wood", "yard", "ford", "mead")]
+    names = [a + b for a in ("alder", "birch", "cedar", "dogwood", "fir", "gorse", "hazel") for b in ("bank", "bark", "bend", "field", "gate", "hill", "lane", "moor", "pond", "rock", "side", "top", "vale", "wood", "yard", "ford", "mead")]
     each = iter(names)
     text = lambda: "\n".join(f"{w} chamber keeps the notebook after the {w} meeting because of the" for w in itertools.islice(each, 3))
     rows = []
     for page in range(1, 8):
-        parts = ["A Title of the Report" if page > 1 else text(), text() + "\nSeen from the old bridge", *(text() for _ in range(3))]
+        parts = ["A Title of the Report" if page > 1 else text(), text(), text() + "\nSeen from the old bridge", *(text() for _ in range(3))]
         rows += [(10 * page + i, page, t, 50.0, 50.0 + 90 * i, 500.0, 120.0 + 90 * i) for i, t in enumerate(parts)]
     doc = scan.Document(rows)
     assert {doc.text[q] for q, k in enumerate(m.label(doc.seen)) if k == scan.HEAD} >= {"A Title of the Report"}
