@@ -1,8 +1,8 @@
 """Problem 5: the language of each document and of each segment in another language.
 
 Character trigrams of a sentence, weighted by TF-IDF and normalised, are compared by cosine with several clustered
-centroids of each language; a sentence too far from all of them has none. The centroids are fitted once on at most
-SAMPLE_BLOCKS blocks whose documents bear a plain label (the documented bound of a classifier's training sample);
+centroids of each language; a sentence too far from all of them has none. The centroids are fitted once on at most about
+SAMPLE_BLOCKS blocks of each language whose documents bear that plain label (the documented bound of a classifier's training sample);
 sentences whose label disagrees with the nearest mean of all labels are left out before clustering, repeated ones count once.
 """
 
@@ -23,7 +23,7 @@ from parchflow.llm.normal import readable
 from parchflow.llm.prose import SAMPLES
 from parchflow.runtime import arrow_map
 
-SAMPLE_BLOCKS = 6_000
+SAMPLE_BLOCKS, SAMPLE_CHARS = 1_500, 20_000  # training blocks of a language, and characters of one
 BUCKETS = 8192  # of hashed trigrams
 CLUSTERS, ROUNDS = 3, 8
 REJECT = 0.10  # cosine below which a sentence has no language
@@ -241,7 +241,7 @@ def fit(rows: list[tuple[str, str]], languages: list[str], per_language: int = 1
 def available(engines: DataFrame) -> list[str]:
     """The languages any engine lists, without odd case, spaces, repeats and osd; engines are a small fixed table."""
     x = engines.select(F.explode("available_languages").alias("x")).select(F.lower(F.trim("x")).alias("x")).where("x <> '' and x <> 'osd'").distinct()
-    return sorted(r.x for r in x.limit(1000).collect())
+    return sorted(r.x for r in x.collect())
 
 
 def labels(structures: DataFrame) -> DataFrame:
@@ -255,12 +255,16 @@ def labels(structures: DataFrame) -> DataFrame:
 
 
 def train(blocks: DataFrame, structures: DataFrame, engines: DataFrame) -> Model:
-    """Fit on blocks chosen by hash of their id, at most about SAMPLE_BLOCKS, of documents labelled with one language."""
-    n = blocks.count()
-    every = max(1, -(-n // SAMPLE_BLOCKS))
-    part = blocks.where(F.pmod(F.xxhash64(F.col("block_id").cast("long")), F.lit(every)) == 0).where("raw_text is not null").select("doc_id", "raw_text")
-    rows = part.join(labels(structures).where(F.size("langs") == 1), "doc_id").select("raw_text", F.col("langs")[0].alias("x")).limit(2 * SAMPLE_BLOCKS).collect()
-    return fit([(r.raw_text, r.x) for r in sorted(rows, key=lambda r: xxhash.xxh3_64_intdigest(r.raw_text))], available(engines))
+    """Fit on blocks of documents labelled with one language, of each language about SAMPLE_BLOCKS, chosen by hash of their id, so that rare languages
+    count in full. Blocks of more than SAMPLE_CHARS characters teach nothing, which bounds what is collected; they are scored like all others."""
+    label = labels(structures).where(F.size("langs") == 1).select("doc_id", F.col("langs")[0].alias("x"))
+    rows = blocks.where(F.length("raw_text").between(1, SAMPLE_CHARS)).join(label, "doc_id")
+    often = {r.x: r["count"] for r in rows.groupBy("x").count().collect()}  # a row per language
+    if not often:
+        return fit([], available(engines))
+    every = F.create_map(*[F.lit(v) for x, n in sorted(often.items()) for v in (x, max(1, -(-n // SAMPLE_BLOCKS)))])
+    part = rows.where(F.pmod(F.xxhash64(F.col("block_id").cast("long")), F.element_at(every, F.col("x"))) == 0).select("raw_text", "x")
+    return fit([(r.raw_text, r.x) for r in sorted(part.collect(), key=lambda r: xxhash.xxh3_64_intdigest(r.raw_text))], available(engines))
 
 
 def segments(blocks: DataFrame, model: Model) -> DataFrame:

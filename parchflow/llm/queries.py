@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_blocks": lambda s, d: boilerplate.boilerplate_blocks(blocks(s, d)),
     "p4_clean": lambda s, d: boilerplate.without_repeated(blocks(s, d)),
     "p5_found": lambda s, d: language.unlabelled(blocks(s, d), structures(s, d), table(s, d, "ocr_engines")),
+    "p5_segments": lambda s, d: language.segments(blocks(s, d), language.train(blocks(s, d), structures(s, d), table(s, d, "ocr_engines"))).dropDuplicates(["block_id", "lang"]),
     "p5_documents": lambda s, d: language.document_languages(blocks(s, d), structures(s, d), table(s, d, "ocr_engines")),
     "p6_found": lambda s, d: encoding.garbled(blocks(s, d)),
     "p6_restored": lambda s, d: encoding.restored(blocks(s, d)).distinct(),
