@@ -24,6 +24,9 @@ def main(argv: list[str] | None = None) -> int:
     i = sub.add_parser("info")
     i.add_argument("--json", action="store_true")
     i.add_argument("--strict", action="store_true")
+    argv = sys.argv[1:] if argv is None else argv
+    if argv and argv[0] not in ("extract", "info", "-h", "--help"):
+        argv = ["extract", *argv]  # a path alone is extracted
     a = p.parse_args(argv)
     try:
         return _info(a) if a.command == "info" else _extract(a)
@@ -52,9 +55,9 @@ def _extract(a: argparse.Namespace) -> int:
 
     pipeline = Pipeline(force_ocr=a.force_ocr, dpi=a.dpi, formats=parse_formats(a.format))
     spark = SparkSession.builder.appName("parchflow").getOrCreate()
-    decoded = cut(pdf.decode(pdf.files(spark, a.input), a.password, ocr=a.force_ocr, dpi=a.dpi))
+    decoded = pdf.decode_by_strategy(pdf.files(spark, a.input), pipeline.strategies, a.force_ocr, password=a.password, dpi=a.dpi)
     bad = decoded.where("error_code is not null").select("source_path", "error_code", "error")
-    for r in bad.limit(20).collect():
+    for r in bad.toLocalIterator():
         print(f"{r.source_path}: {r.error}", file=sys.stderr)
     done = cut(write_documents(pipeline.run(pdf.tables(decoded)), a.output, pipeline.formats, not a.no_overwrite))
     worst = bad.agg({"error_code": "max"}).first()[0]

@@ -9,8 +9,7 @@ from parchflow.functions import fixed
 from parchflow.functions.text import ends_with, let, rx, solid_lines, splitlines, strip, text_of
 
 CODE_LINE = rx("|".join(f"(?:{p})" for p in fixed.CODE_LINES), True)
-_JSDOC = r"^(\* @|/\*|\*/)"
-_JSDOC_TERM = rx(r"^\*\s+[a-zA-Z_]\w*\s*-")
+_JSDOC, _JSDOC_TERM = fixed.JSDOC, rx(fixed.JSDOC_TERM)
 
 
 def is_filename(stripped: Column) -> Column:
@@ -38,7 +37,7 @@ def is_code_block(c: Column) -> Column:
     return let(text_of(c), of)
 
 
-_HASHES, _OUTLINE, _SINGLE = rx(r"^(#{1,})\s+(.+)$"), rx(r"^(\d+(?:\.\d+)+)\.?\s+(.+)$"), rx(r"^(\d+)(?:\.|\s+-|\s+–)\s+(.+)$")
+_HASHES, _OUTLINE, _SINGLE, _KEYCAP = map(rx, (fixed.HASHES, fixed.OUTLINE, fixed.SINGLE, fixed.KEYCAP))
 
 
 def heading_level(c: Column, max_length: int = fixed.MAX_HEADING) -> Column:
@@ -59,7 +58,7 @@ def heading_level(c: Column, max_length: int = fixed.MAX_HEADING) -> Column:
                 .when(s.rlike(_HASHES), F.least(F.lit(6), F.length(F.regexp_extract(s, "^(#+)", 1))))
                 .when(s.rlike(_OUTLINE), F.least(F.lit(6), depth))
                 .when(numbered, 1)
-                .when(s.rlike(rx(r"^([0-9]️?⃣)\s+(.+)$")) & (lines == 1), 3)
+                .when(s.rlike(_KEYCAP) & (lines == 1), 3)
                 .when(s.rlike(rx(fixed.CHAPTER, True)) & ~ends_with(s, ".;"), 1)
                 .when(s.rlike(rx(fixed.SECTION, True)) & ~ends_with(s, ".;"), 2)
                 .when(shouted, 1)

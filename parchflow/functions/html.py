@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from parchflow.functions.text import text_of
 from parchflow.runtime import string_udf
 
+PAGE_CLASS = "parch-page"
 STYLE = """    body { margin: 0; background: #fff; color: #222; font: 16px/1.6 system-ui, sans-serif; }
-    .markdown-body { max-width: 52rem; margin: 2rem auto; padding: 0 1rem; }
+    .parch-page { max-width: 52rem; margin: 2rem auto; padding: 0 1rem; }
     pre, code { font-family: ui-monospace, monospace; background: #f3f3f3; }
     pre { padding: .8rem; overflow-x: auto; }
     table { border-collapse: collapse; } th, td { border: 1px solid #bbb; padding: .3rem .6rem; }
@@ -145,6 +146,11 @@ def compile_markdown_to_html(c: Column) -> Column:
     return string_udf(markdown_to_html)(text_of(c))
 
 
+def escape(text: str) -> str:
+    """escape_html of a string."""
+    return html.escape(text, quote=True)
+
+
 def escape_html(c: Column) -> Column:
     out = text_of(c)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
@@ -152,12 +158,18 @@ def escape_html(c: Column) -> Column:
     return out
 
 
+def html_frame(lang: str = "pt-BR", extra_css: str = "") -> tuple[str, str, str]:
+    """What stands before the title of a page, between title and content, and after the content."""
+    css = STYLE + (f"\n{extra_css.strip()}" if extra_css and extra_css.strip() else "")
+    head = f'<!DOCTYPE html>\n<html lang="{html.escape(lang)}">\n<head>\n  <meta charset="utf-8">\n  <meta name="viewport" content="width=device-width, initial-scale=1.0">\n  <title>'
+    return head, f'</title>\n  <style>\n{css}\n  </style>\n</head>\n<body>\n  <main class="{PAGE_CLASS}">\n', "\n  </main>\n</body>\n</html>"
+
+
 def render_html_document(content: Column, title: Column | str = "Documento", lang: str = "pt-BR", extra_css: str = "") -> Column:
     """A page around a fragment; title and language are escaped. A null title is "Documento"."""
     title = F.lit(title) if isinstance(title, str) else F.coalesce(title, F.lit("Documento"))
-    css = STYLE + (f"\n{extra_css.strip()}" if extra_css and extra_css.strip() else "")
-    head = f'<!DOCTYPE html>\n<html lang="{html.escape(lang)}">\n<head>\n  <meta charset="utf-8">\n  <meta name="viewport" content="width=device-width, initial-scale=1.0">\n  <title>'
-    return F.concat(F.lit(head), escape_html(title), F.lit(f'</title>\n  <style>\n{css}\n  </style>\n</head>\n<body>\n  <main class="markdown-body">\n'), text_of(content), F.lit("\n  </main>\n</body>\n</html>"))
+    head, middle, end = map(F.lit, html_frame(lang, extra_css))
+    return F.concat(head, escape_html(title), middle, text_of(content), end)
 
 
 def stem(path: Column) -> Column:

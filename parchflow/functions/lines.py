@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from parchflow.functions import fixed
 from parchflow.functions.text import solid_lines, text_of
-from parchflow.runtime import string_udf
+from parchflow.runtime import where_needed
 
-PREFIXES, VOWEL_PREFIXES, ENCLITICS, COMPOUNDS = (frozenset(x.split()) for x in (fixed.PREFIXES, fixed.VOWEL_PREFIXES, fixed.ENCLITICS, fixed.COMPOUNDS))
+PREFIXES, VOWEL_PREFIXES, ENCLITICS, COMPOUNDS = map(frozenset, (fixed.PREFIXES, fixed.VOWEL_PREFIXES, fixed.ENCLITICS, fixed.COMPOUNDS))
 
 
 def normalize_line_endings(c: Column) -> Column:
@@ -79,7 +79,8 @@ def join_broken(text: str | None, custom: frozenset[str] = frozenset()) -> str:
 def dehyphenate_text(c: Column, custom: Iterable[str] = ()) -> Column:
     """join_broken of a column: each join may change the next one, which no built-in function can express."""
     words = frozenset(w.lower() for w in custom)
-    return string_udf(lambda t: join_broken(t, words))(text_of(c))
+    ends = normalize_line_endings(c)
+    return where_needed(ends, ends.rlike(rf"[{fixed.HYPHENS}](?U)(?:[^\S\n]|[\x1c-\x1f])*\n"), lambda t: join_broken(t, words))
 
 
 def consolidate_paragraphs(c: Column, preserve_double_newlines: bool = True, strip_lines: bool = True) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parchflow.functions import fixed
 from parchflow.functions.text import let, rx, solid_lines, splitlines, strip, text_of
 
 
@@ -54,8 +55,8 @@ def format_code_block(c: Column, default_language: str = "") -> Column:
     return _unless_blank(c, lambda s: F.when(is_code_fenced(s), s).otherwise(fenced))
 
 
-_BULLET = rx(r"^(\s*)([-*+•◦▪▫–—])\s+(.+)$")
-_ORDERED = tuple(rx(x) for x in (r"^(\s*)(\d+)[\.\)]\s+(.+)$", r"^(\s*)\((\d+)\)\s+(.+)$", r"^(\s*)([a-zA-Z]|[ivxlcdmIVXLCDM]+)[\.\)]\s+(.+)$"))
+_BULLET = rx(fixed.LIST_BULLET)
+_ORDERED = tuple(map(rx, fixed.LIST_ORDERED))
 
 
 def format_list_item(c: Column, preserve_ordered: bool = True) -> Column:
@@ -100,7 +101,7 @@ def format_table(c: Column) -> Column:
     return _unless_blank(c, lambda s: let(solid_lines(splitlines(s)), of))
 
 
-TAG_LIKE = rx(r"<(?=/?(?:[a-zA-Z][\w.:-]*)(?:\s|>|/|$))")
+TAG_LIKE = rx(fixed.TAG_LIKE)
 
 
 def format_paragraph(c: Column) -> Column:

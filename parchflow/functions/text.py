@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parchflow.runtime import string_udf
+from parchflow.runtime import where_needed
 
 
 def text_of(c: Column | str) -> Column:
@@ -61,7 +61,7 @@ def collapse_consecutive_spaces(c: Column) -> Column:
 
 def normalize_unicode(c: Column, form: str = "NFC") -> Column:
     """One of the four normal forms; Spark has no such function, so this is the one Python step of cleaning."""
-    return string_udf(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))(text_of(c))
+    return where_needed(text_of(c), text_of(c).rlike(r"[^\x00-\x7f]"), lambda t: unicodedata.normalize(form, t))
 
 
 def clean_text(

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from parchflow.functions.text import splitlines, strip, text_of
 
 
+#: Characters of a language's name; a line with any other, such as the title of a listing, names none.
+PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-"
+
+
 def missing_languages(available: Column, required: Column) -> Column:
     """Required languages that aren't available, compared without case and outer spaces; as they are required, in their order, each once."""
     low = F.transform(F.coalesce(available, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
@@ -17,15 +21,15 @@ def missing_languages(available: Column, required: Column) -> Column:
 def language_list(output: Column) -> Column:
     """Sorted distinct languages of what a language probe prints: lines of one word, without the title."""
     lines = F.transform(splitlines(text_of(output)), strip)
-    kept = F.filter(lines, lambda x: x.rlike(r"^[a-zA-Z0-9_\-]+\z") & ~F.lower(x).startswith("list of available languages"))
-    return F.array_sort(F.array_distinct(kept))
+    return F.array_sort(F.array_distinct(F.filter(lines, lambda x: (x != "") & (F.translate(x, PLAIN, "") == ""))))
 
 
 def version_of(output: Column) -> Column:
-    """The version in what a version probe prints, else its first line, null if there is none."""
-    out = strip(text_of(output))
-    found = F.regexp_extract(out, r"(?i)tesseract\s+v?(\d+\.\d+[.\d\w\-]*)", 1)
-    return F.coalesce(F.nullif(found, F.lit("")), F.nullif(strip(F.try_element_at(splitlines(out), F.lit(1))), F.lit("")))
+    """The version in what a version probe prints: the word after the engine's name on its first line, else that line, null if there is none."""
+    line = strip(F.try_element_at(splitlines(strip(text_of(output))), F.lit(1)))
+    words = F.split(line, r"\s+")
+    named = (F.size(words) > 1) & (F.lower(words[0]) == "tesseract")
+    return F.nullif(F.when(named, F.regexp_replace(words[1], "^v", "")).otherwise(line), F.lit(""))
 
 
 def check_engines(engines: DataFrame, required: list[str]) -> DataFrame:

@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from pathlib import PurePosixPath
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from parchflow.functions import fixed
+from parchflow.functions.html import stem
 
 
 class ParchflowError(Exception):
@@ -75,3 +79,20 @@ def output_targets(source: str | bytes | None, output_path: str | None, output_d
     base = PurePosixPath(output_path if output_path is not None else output_dir if output_dir is not None else ".")
     stem = output_stem(source, filename)
     return str(base / f"{stem}.md"), str(base / f"{stem}.html")
+
+
+def normal_formats(given: Column) -> Column:
+    """The formats of a comma-separated text: trimmed, in lower case, without a leading dot, each once, in their order."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(given, F.lit("")), ","), lambda f: F.regexp_replace(F.lower(F.trim(f)), r"^\.+", "")), lambda f: f != ""))
+
+
+def formats_known(given: Column) -> Column:
+    """Whether all formats of a text are known."""
+    return F.forall(normal_formats(given), lambda f: f.isin(*fixed.FORMATS))
+
+
+def target_paths(source: Column, folder: str) -> tuple[Column, Column]:
+    """(markdown_path, html_path) of a source in a folder: named by its stem, "output" if it has none or is no file."""
+    name = F.coalesce(stem(F.nullif(source, F.lit("<memory>"))), F.lit("output"))
+    path = lambda suffix: F.concat(F.lit(folder.rstrip("/") + "/"), name, F.lit(suffix))
+    return path(".md").alias("markdown_path"), path(".html").alias("html_path")

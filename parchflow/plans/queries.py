@@ -6,19 +6,22 @@ the same way on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchflow.functions import classify as C
 from parchflow.functions import fixed, lines, render, text
-from parchflow.functions.html import compile_markdown_to_html, escape_html, stem
+from parchflow.functions.html import compile_markdown_to_html, escape_html, html_frame, render_html, stem
 from parchflow.operators import blocks as B
 from parchflow.operators import engines, layout, links, ocr, quality
-from parchflow.plans.pipeline import Pipeline
-from parchflow.runtime import table
+from parchflow.options import formats_known, normal_formats, target_paths
+from parchflow.plans.pipeline import Pipeline, progress
+from parchflow.runtime import cut, table
 from parchflow.schema import block_faults, report_faults, result_faults
+from parchflow.sinks import with_newline
+from parchflow.sources import pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,8 +113,8 @@ query(
 )(_on_text(lambda c: lines.consolidate_paragraphs(F.replace(c, F.lit(".\n"), F.lit(".\n \n")))))
 
 
-def _list(words: str) -> str:
-    return ", ".join(f"'{w}'" for w in dict.fromkeys(words.split()))
+def _list(words: Iterable[str]) -> str:
+    return ", ".join(f"'{w}'" for w in dict.fromkeys(words))
 
 
 _MORPH = rf"""(length(p) > 0 AND length(s) > 0 AND (
@@ -139,8 +142,26 @@ query("morph_hyphen", f"WITH {_PAIRS} SELECT p, s, {_MORPH} AS keeps FROM pr")(l
 query("dehyphenate_pairs", f"WITH {_PAIRS} SELECT p, s, CASE WHEN {_MORPH} THEN p || '-' || s ELSE p || s END AS joined FROM pr WHERE p <> '' AND s <> ''")(
     lambda s, d: word_pairs(s, d).where("p <> '' and s <> ''").select("p", "s", lines.dehyphenate_text(F.concat("p", F.lit("-\n"), "s")).alias("joined"))
 )
-query("dehyphenate")(_on_text(lines.dehyphenate_text))
-query("normalize_line_breaks")(_on_text(lambda c: lines.normalize_line_breaks(text.clean_text(c))))
+_G = r"[\t\x{b}\x{c}\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
+_HY = r"[-‐‑\x{ad}]"
+_BROKEN = rf"({_W}+){_HY}{_G}\n{_G}(-?){_G}({_W}+)"
+
+
+def _dehyphenated(name: str, source: str, key: str, x: str) -> str:
+    """A recursive table (key, t) of texts, one break joined a step, and its last rows."""
+    return rf"""{name}_r AS (SELECT {key}, regexp_replace({x}, '\r\n?', chr(10), 'g') AS t FROM {source}
+  UNION ALL SELECT {key}, a || p || CASE WHEN again = '-' OR regexp_matches(a, '(?s)[^\r\n \t]{_HY}\z') OR regexp_matches(e, '(?s)\A{_HY}[^\r\n \t]') OR {_MORPH} THEN '-' ELSE '' END || s || e
+    FROM (SELECT {key}, m.a AS a, m.p AS p, m.again AS again, m.s AS s, m.e AS e FROM (SELECT {key}, regexp_extract(t, '(?s)\A(.*?){_BROKEN}(.*)\z', ['a', 'p', 'again', 's', 'e']) AS m FROM {name}_r WHERE regexp_matches(t, '{_BROKEN}')))),
+{name} AS (SELECT {key}, t FROM {name}_r WHERE NOT regexp_matches(t, '{_BROKEN}'))"""
+
+
+def _consolidated(x: str) -> str:
+    paras = rf"regexp_split_to_array({x}, '\n{_WS}*\n+')"
+    return f"array_to_string(list_filter(list_transform({paras}, lambda p: array_to_string(list_filter(list_transform(string_split(p, chr(10)), lambda q: {_strip('q')}), lambda q: q <> ''), ' ')), lambda p: p <> ''), chr(10) || chr(10))"
+
+
+query("dehyphenate", f"WITH RECURSIVE {_B}, {_dehyphenated('dh', 'b', 'block_id', 'raw_text')} SELECT block_id, t AS cleaned FROM dh")(_on_text(lines.dehyphenate_text))
+query("normalize_line_breaks", f"WITH RECURSIVE {_B}, {_dehyphenated('dh', 'b', 'block_id', _clean('raw_text'))} SELECT block_id, {_consolidated('t')} AS cleaned FROM dh")(_on_text(lambda c: lines.normalize_line_breaks(text.clean_text(c))))
 
 # --- quality
 
@@ -271,7 +292,39 @@ query(
     "link_majority",
     f"WITH {_B}, {_LINKED} SELECT block_no, count(*) AS words, count(uri) AS linked, min(uri) AS uri FROM u GROUP BY block_no HAVING count(DISTINCT uri) = 1 AND count(uri) >= greatest(1, count(*) * 7 // 10)",
 )(lambda s, d: links.link_majority(linked_words(s, d)).select("block_no", "words", "linked", "uri"))
-query("apply_links")(lambda s, d: links.apply_links(distinct_blocks(s, d).withColumn("block_no", F.col("block_id")).withColumn("normalized_text", F.replace("raw_text", F.lit("\n"), F.lit(" "))), linked_words(s, d)).select("block_id", "raw_text", "normalized_text"))
+_WD = r"[\p{L}\p{N}_]"
+
+
+def _free(parts: str) -> str:
+    """The number of the first part after which the phrase stands free, null if there is none."""
+    word = lambda x: f"regexp_matches({x}, '{_WD}')"
+    before = f"CASE WHEN {parts}[i] <> '' THEN right({parts}[i], 1) WHEN i > 1 THEN right(phrase, 1) ELSE ' ' END"
+    after = f"CASE WHEN {parts}[i + 1] <> '' THEN left({parts}[i + 1], 1) WHEN i + 1 < len({parts}) THEN left(phrase, 1) ELSE ' ' END"
+    return f"list_filter(range(1, len({parts})), lambda i: {before} <> '[' AND {after} <> ']' AND {word(before)} <> {word('left(phrase, 1)')} AND {word(after)} <> {word('right(phrase, 1)')})[1]"
+
+
+def _set_link(x: str, parts: str, at: str) -> str:
+    """The text x, split at a phrase, with its first free occurrence made a link."""
+    size = f"(list_sum(list_transform({parts}[1:{at}], lambda z: length(z))) + ({at} - 1) * length(phrase))::BIGINT"
+    return f"CASE WHEN phrase = '' OR uri = '' OR {at} IS NULL THEN {x} ELSE left({x}, {size}) || '[' || phrase || '](' || uri || ')' || substr({x}, {size} + length(phrase) + 1) END"
+
+
+def _whole_link(x: str) -> str:
+    return f"CASE WHEN starts_with({x}, '[') AND ends_with({x}, '](' || m.uri || ')') THEN {x} ELSE '[' || {x} || '](' || m.uri || ')' END"
+
+
+query(
+    "apply_links",
+    f"""WITH RECURSIVE {_B}, {_LINKED}, c AS (SELECT *, CASE WHEN uri IS NOT DISTINCT FROM lag(uri) OVER (PARTITION BY block_no ORDER BY n) THEN 0 ELSE 1 END AS f FROM u), r0 AS (SELECT *, sum(f) OVER (PARTITION BY block_no ORDER BY n) AS run FROM c),
+    r1 AS (SELECT block_no, run, uri, string_agg(word, ' ' ORDER BY n) AS phrase FROM r0 WHERE uri IS NOT NULL GROUP BY block_no, run, uri), r AS (SELECT *, row_number() OVER (PARTITION BY block_no ORDER BY run) AS k FROM r1),
+    m AS (SELECT block_no, min(uri) AS uri FROM u GROUP BY block_no HAVING count(DISTINCT uri) = 1 AND count(uri) >= greatest(1, count(*) * 7 // 10)),
+    x AS (SELECT block_id, raw_text AS raw, replace(raw_text, chr(10), ' ') AS norm FROM b), st AS (SELECT block_id, CAST(0 AS BIGINT) AS k, raw, norm FROM x WHERE block_id NOT IN (SELECT block_no FROM m) AND {_strip('norm')} <> ''
+      UNION ALL SELECT block_id, k, {_set_link('raw', 'rp', 'ri')}, {_set_link('norm', 'np', 'ni')} FROM (SELECT *, {_free('rp')} AS ri, {_free('np')} AS ni
+        FROM (SELECT st.block_id, st.k + 1 AS k, raw, norm, phrase, uri, string_split(raw, phrase) AS rp, string_split(norm, phrase) AS np FROM st JOIN r ON r.block_no = st.block_id AND r.k = st.k + 1)))
+    SELECT block_id, arg_max(raw, k) AS raw_text, arg_max(norm, k) AS normalized_text FROM st GROUP BY block_id
+    UNION ALL SELECT block_id, CASE WHEN {_strip('norm')} = '' THEN raw ELSE {_whole_link('raw')} END, CASE WHEN {_strip('norm')} = '' THEN norm ELSE {_whole_link('norm')} END FROM x JOIN m ON m.block_no = x.block_id
+    UNION ALL SELECT block_id, raw, norm FROM x WHERE {_strip('norm')} = '' AND block_id NOT IN (SELECT block_no FROM m)""",
+)(lambda s, d: links.apply_links(distinct_blocks(s, d).withColumn("block_no", F.col("block_id")).withColumn("normalized_text", F.replace("raw_text", F.lit("\n"), F.lit(" "))), linked_words(s, d)).select("block_id", "raw_text", "normalized_text"))
 
 
 def boxes(s: SparkSession, d: str) -> DataFrame:
@@ -287,9 +340,40 @@ query(
     SELECT doc_id, page_number, top_no, bottom_no FROM p WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id = p.doc_id AND o.page_number = p.page_number AND o.block_id NOT IN (p.top_no, p.bottom_no)
       AND o.y0 >= p.ty1 - 3 AND o.y1 <= p.by0 + 3 AND least(p.r, o.x1) > greatest(p.l, o.x0))""",
 )(lambda s, d: layout.stacked_pairs(boxes(s, d)))
+
+
+def _ordered(boxes: str) -> str:
+    """Tables lp (stacks' edges), lc (reachable blocks), lg (stacks) and lo (doc_id, page_number, block_no, page_ord) of a table of boxes (doc_id, page_number, block_no, is_table, x0, y0, x1, y1).
+    A stack's place is the number of stacks that come before it, which is its place wherever the comparison is transitive on the page."""
+    return f"""lp AS (SELECT t.doc_id, t.page_number, t.block_no AS top_no, u.block_no AS bottom_no FROM (SELECT * FROM {boxes} WHERE NOT is_table) t JOIN (SELECT * FROM {boxes} WHERE NOT is_table) u USING (doc_id, page_number)
+      WHERE t.block_no <> u.block_no AND (t.y0 < u.y0 OR (t.y0 = u.y0 AND t.block_no < u.block_no)) AND t.y1 <= u.y0 + 3
+        AND greatest(t.x1 - t.x0, u.x1 - u.x0) > 0 AND least(t.x1 - t.x0, u.x1 - u.x0) / greatest(t.x1 - t.x0, u.x1 - u.x0) >= 0.6 AND (least(t.x1, u.x1) - greatest(t.x0, u.x0)) / nullif(least(t.x1 - t.x0, u.x1 - u.x0), 0) >= 0.6
+        AND NOT EXISTS (SELECT 1 FROM {boxes} o WHERE o.doc_id = t.doc_id AND o.page_number = t.page_number AND o.block_no <> t.block_no AND o.block_no <> u.block_no
+          AND o.y0 >= t.y1 - 3 AND o.y1 <= u.y0 + 3 AND least(greatest(t.x1, u.x1), o.x1) > greatest(least(t.x0, u.x0), o.x0))),
+    le AS (SELECT doc_id, page_number, top_no AS i, bottom_no AS j FROM lp UNION ALL SELECT doc_id, page_number, bottom_no, top_no FROM lp),
+    lc AS (SELECT doc_id, page_number, block_no, block_no AS r FROM {boxes} UNION SELECT lc.doc_id, lc.page_number, lc.block_no, le.j FROM lc JOIN le ON le.doc_id = lc.doc_id AND le.page_number = lc.page_number AND le.i = lc.r),
+    lr AS (SELECT doc_id, page_number, block_no, min(r) AS g FROM lc GROUP BY ALL),
+    lg AS (SELECT doc_id, page_number, g, min(x0) AS x0, min(y0) AS y0, max(y1) AS y1, count(*) AS n FROM {boxes} JOIN lr USING (doc_id, page_number, block_no) GROUP BY doc_id, page_number, g),
+    lb AS (SELECT a.doc_id, a.page_number, a.g, coalesce(sum(z.n) FILTER (z.g <> a.g AND CASE WHEN z.y1 <= a.y0 + 3 THEN true WHEN a.y1 <= z.y0 + 3 THEN false ELSE (z.x0, z.y0) < (a.x0, a.y0) END), 0) AS before FROM lg a JOIN lg z USING (doc_id, page_number) GROUP BY a.doc_id, a.page_number, a.g),
+    lo AS (SELECT doc_id, page_number, block_no, CAST(before + row_number() OVER (PARTITION BY doc_id, page_number, g ORDER BY y0, x0, block_no) - 1 AS INTEGER) AS page_ord FROM {boxes} JOIN lr USING (doc_id, page_number, block_no) JOIN lb USING (doc_id, page_number, g))"""
+
+
+_BOXES = "bx AS (SELECT doc_id, page_number, block_id AS block_no, block_type = 'table' AS is_table, x0, y0, x1, y1 FROM b)"
 query("layout_order")(lambda s, d: layout.sort_blocks(boxes(s, d)))
 
 
+def clear_boxes(s: SparkSession, d: str) -> DataFrame:
+    """Boxes of the pages on which no two overlap in height, where the comparison of stacks can't go round in a circle."""
+    x = boxes(s, d)
+    o = x.select("doc_id", "page_number", F.col("block_no").alias("n2"), F.col("y0").alias("a"), F.col("y1").alias("b"))
+    over = x.join(o, ["doc_id", "page_number"]).where("block_no < n2 and y1 > a + 3 and b > y0 + 3").select("doc_id", "page_number").distinct()
+    return x.join(over, ["doc_id", "page_number"], "left_anti")
+
+
+_CLEAR = "cx AS (SELECT * FROM bx WHERE (doc_id, page_number) NOT IN (SELECT (p.doc_id, p.page_number) FROM bx p JOIN bx q USING (doc_id, page_number) WHERE p.block_no < q.block_no AND p.y1 > q.y0 + 3 AND q.y1 > p.y0 + 3))"
+query("layout_order_clear", f"WITH RECURSIVE {_B}, {_BOXES}, {_CLEAR}, {_ordered('cx')} SELECT doc_id, page_number, block_no, page_ord FROM lo")(lambda s, d: layout.sort_blocks(clear_boxes(s, d)))
+
+
 def columns(s: SparkSession, d: str) -> DataFrame:
     """Blocks set in two columns without gaps between neighbours, so that the order is known: left column first."""
     b = distinct_blocks(s, d)
@@ -455,14 +539,22 @@ query("fmt_list", _fmt_sql(_fmt_list("raw_text")))(_fmt(render.format_list_item)
 query("fmt_table", _fmt_sql(_fmt_table("raw_text")))(_fmt(render.format_table))
 
 
+_INDENTED = r"array_to_string(list_transform(string_split(replace(regexp_replace(raw_text, '[^\x{21}-\x{10ffff}\n]+', ' ', 'g'), '`', ''), chr(10)), lambda q, i: CASE WHEN i % 5 = 0 THEN '  ' ELSE repeat(' ', 2 + i % 3) || q END), chr(10))"
+_LINES_OF = f"list_transform(string_split({_INDENTED}, chr(10)), lambda q: CASE WHEN regexp_matches(q, '^[ \\t]*$') THEN '' ELSE q END)"
+_DEDENTED = f"(SELECT array_to_string(list_transform(ls, lambda q: substr(q, 1 + coalesce(list_min(list_transform(list_filter(ls, lambda z: z <> ''), lambda z: length(regexp_extract(z, '^ *')))), 0))), chr(10)) FROM (SELECT {_LINES_OF} AS ls))"
+
+
 def _fmt_code(x: str) -> str:
-    # lines of the input don't start with white space that they share, so that only outer space goes
-    return f"CASE WHEN {_strip(x)} = '' THEN '' ELSE '```sql' || chr(10) || {_strip(x)} || chr(10) || '```' END"
+    return f"CASE WHEN {_strip(_INDENTED)} = '' THEN '' ELSE '```sql' || chr(10) || {_strip(x)} || chr(10) || '```' END"
 
 
-query("fmt_code", _fmt_sql(_fmt_code("replace(regexp_replace(raw_text, '[^\\x{21}-\\x{10ffff}]+', ' ', 'g'), '`', '')")))(
-    lambda s, d: distinct_blocks(s, d).select("block_id", render.format_code_block(F.replace(F.regexp_replace("raw_text", r"[^\x{21}-\x{10ffff}]+", " "), F.lit("`"), F.lit("")), "sql").alias("markdown"))
-)
+def indented(c: Column) -> Column:
+    """Lines with two to four spaces before them, every fifth blank."""
+    ls = F.split(F.replace(F.regexp_replace(c, r"[^\x{21}-\x{10ffff}\n]+", " "), F.lit("`"), F.lit("")), "\n")
+    return F.array_join(F.transform(ls, lambda q, i: F.when((i + 1) % 5 == 0, F.lit("  ")).otherwise(F.concat(F.repeat(F.lit(" "), 2 + (i + 1) % 3), q))), "\n")
+
+
+query("fmt_code", _fmt_sql(_fmt_code(_DEDENTED)))(lambda s, d: distinct_blocks(s, d).select("block_id", render.format_code_block(indented(F.col("raw_text")), "sql").alias("markdown")))
 _MD_BLOCK = f"""CASE WHEN {_strip('raw_text')} = '' THEN '' WHEN block_type = 'heading' THEN {_fmt_heading('raw_text', 'heading_level')} WHEN block_type = 'list_item' THEN {_fmt_list('raw_text')} ELSE {_fmt_paragraph('raw_text')} END"""
 _FENCED = f"(len({_splitlines(_strip('raw_text'))}) >= 2 AND starts_with({_strip('raw_text')}, '```') AND {_strip(_splitlines(_strip('raw_text')) + '[-1]')} = '```')"
 _ISLANDS = f"""il AS (SELECT *, block_type = 'code_block' AND NOT {_FENCED} AS loose FROM sm WHERE block_type <> 'code_block' OR {_strip('raw_text')} <> ''),
@@ -483,7 +575,13 @@ query(
     "simple_markdown",
     f"WITH {_B}, x AS (SELECT *, {_strip('coalesce(nullif(normalized_text, chr(1)), raw_text)').replace('chr(1)', chr(39) * 2)} AS t FROM b), y AS (SELECT doc_id, block_ord, {_SIMPLE} AS m FROM x WHERE t <> '') SELECT d.doc_id, coalesce(string_agg(m, chr(10) || chr(10) ORDER BY block_ord), '') AS markdown FROM (SELECT DISTINCT doc_id FROM b) d LEFT JOIN y USING (doc_id) GROUP BY d.doc_id",
 )(lambda s, d: B.simple_markdown(distinct_blocks(s, d)))
-query("markdown_as_typed")(lambda s, d: B.build_markdown(distinct_blocks(s, d)))
+_MARKDOWN = f"""pt AS (SELECT doc_id, island, min(block_ord) AS o, '```' || chr(10) || {_strip("string_agg(" + _strip('raw_text') + ", chr(10) ORDER BY block_ord)")} || chr(10) || '```' AS m FROM ir WHERE loose GROUP BY doc_id, island
+      UNION ALL SELECT doc_id, island, block_ord, CASE WHEN block_type = 'code_block' THEN {_strip('raw_text')} WHEN block_type = 'table' THEN {_fmt_table('raw_text')} ELSE {_MD_BLOCK} END FROM ir WHERE NOT loose)"""
+query(
+    "markdown_as_typed",
+    f"""WITH {_B}, sm AS (SELECT block_id, doc_id, block_ord, coalesce(nullif(normalized_text, ''), raw_text, '') AS raw_text, block_type, coalesce(heading_level, 0) AS heading_level FROM b), {_ISLANDS}, {_MARKDOWN}
+    SELECT d.doc_id, coalesce(string_agg(m, chr(10) || chr(10) ORDER BY o) FILTER (m <> ''), '') AS markdown FROM (SELECT DISTINCT doc_id FROM b) d LEFT JOIN pt USING (doc_id) GROUP BY d.doc_id""",
+)(lambda s, d: B.build_markdown(distinct_blocks(s, d)))
 
 # --- the same over the whole texts of blocks; those that came as tables stay tables
 
@@ -516,6 +614,30 @@ query("html_title", """SELECT DISTINCT doc_id, replace(replace(replace(replace(r
     lambda s, d: table(s, d, "structures").select("doc_id", escape_html(F.coalesce("title", F.lit("Documento"))).alias("title")).distinct()
 )
 query("output_stem", r"SELECT DISTINCT doc_id, regexp_replace(regexp_extract(source_path, '([^/\\]*)[/\\]*$', 1), '\.[^.]*$', '') AS stem FROM structures")(lambda s, d: table(s, d, "structures").select("doc_id", stem(F.col("source_path")).alias("stem")).distinct())
+
+
+def html_parts(s: SparkSession, d: str) -> DataFrame:
+    """Markdown of every kind of element, made of the letters of blocks, and a title with marks to escape."""
+    b = distinct_blocks(s, d)
+    words = F.concat(F.lit("a "), F.regexp_replace("raw_text", r"[^\p{L}]+", " "), F.lit(" z"))
+    b = b.select("block_id", words.alias("w"), F.concat(F.lit("\"T\" & <"), F.col("block_id").cast("string"), F.lit(">'s")).alias("title"))
+    md = F.concat(F.lit("## "), F.col("w"), F.lit("\n\n"), F.col("w"), F.lit("\nb\n\n- "), F.col("w"), F.lit("\n- c\n\n```sql\nx < "), F.col("w"), F.lit("\n```\n\n| "), F.col("w"), F.lit(" | y |\n| --- | --- |\n| 1 | 2 |"))
+    return b.withColumn("markdown", md)
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_PAGE_HEAD, _PAGE_MIDDLE, _PAGE_END = html_frame("pt-BR")
+_ESC = """replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
+query(
+    "html_page",
+    rf"""WITH {_B}, w AS (SELECT block_id, 'a ' || regexp_replace(raw_text, '[^\p{{L}}]+', ' ', 'g') || ' z' AS w, '"T" & <' || block_id || '>''s' AS title FROM b)
+    SELECT block_id, {_sql_text(_PAGE_HEAD)} || {_ESC} || {_sql_text(_PAGE_MIDDLE)} || '<h2>' || w || '</h2>' || chr(10) || '<p>' || w || chr(10) || 'b</p>' || chr(10) || '<ul>' || chr(10) || '<li>' || w || '</li>' || chr(10) || '<li>c</li>' || chr(10) || '</ul>' || chr(10)
+      || '<pre><code class="language-sql">x &lt; ' || w || chr(10) || '</code></pre>' || chr(10) || '<table>' || chr(10) || '<thead>' || chr(10) || '<tr>' || chr(10) || '<th>' || w || '</th>' || chr(10) || '<th>y</th>' || chr(10) || '</tr>' || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10)
+      || '<tr>' || chr(10) || '<td>1</td>' || chr(10) || '<td>2</td>' || chr(10) || '</tr>' || chr(10) || '</tbody>' || chr(10) || '</table>' || {_sql_text(_PAGE_END)} AS html FROM w""",
+)(lambda s, d: html_parts(s, d).select("block_id", render_html(F.col("markdown"), F.col("title")).alias("html")))
 query("html_documents")(lambda s, d: B.build_markdown(distinct_blocks(s, d)).select("doc_id", compile_markdown_to_html(F.col("markdown")).alias("html")))
 
 # --- engines and row checks
@@ -530,9 +652,16 @@ query("engine_version", "SELECT DISTINCT engine_id, version FROM ocr_engines")(l
 query("engine_check", "SELECT DISTINCT engine_id, is_available AND list_has_all(list_transform(available_languages, lambda x: lower(trim(x))), ['por', 'rus']) AS usable FROM ocr_engines")(
     lambda s, d: engines.check_engines(table(s, d, "ocr_engines"), ["por", "rus"]).select("engine_id", "usable").distinct()
 )
-query("block_faults", f"WITH {_B} SELECT block_id FROM b WHERE page_number < 1 OR heading_level NOT BETWEEN 0 AND 6 OR block_type NOT IN ({_list(' '.join(fixed.BLOCK_TYPES))}) OR x0 IS NULL OR y0 IS NULL OR x1 IS NULL OR y1 IS NULL")(
-    lambda s, d: distinct_blocks(s, d).where(F.size(block_faults()) > 0).select("block_id")
-)
+_FAULTY = "block_id, page_number - (block_id % 5)::INTEGER AS page_number, heading_level + (block_id % 8)::INTEGER AS heading_level, CASE WHEN block_id % 7 = 0 THEN 'figure' ELSE block_type END AS block_type, CASE WHEN block_id % 11 = 0 THEN NULL ELSE x0 END AS x0, y0, x1, y1"
+query(
+    "block_faults",
+    f"""WITH {_B}, x AS (SELECT {_FAULTY} FROM b) SELECT block_id, list_filter([CASE WHEN NOT coalesce(page_number >= 1, false) THEN 'page_number' END, CASE WHEN NOT coalesce(heading_level BETWEEN 0 AND 6, false) THEN 'heading_level' END,
+      CASE WHEN NOT coalesce(block_type IN ({_list(fixed.BLOCK_TYPES)}), false) THEN 'block_type' END, CASE WHEN x0 IS NULL OR y0 IS NULL OR x1 IS NULL OR y1 IS NULL THEN 'bbox' END], lambda z: z IS NOT NULL) AS faults FROM x""",
+)(
+    lambda s, d: distinct_blocks(s, d).selectExpr(
+        "block_id", "page_number - cast(block_id % 5 as int) page_number", "heading_level + cast(block_id % 8 as int) heading_level", "case when block_id % 7 = 0 then 'figure' else block_type end block_type", "case when block_id % 11 = 0 then null else x0 end x0", "y0", "x1", "y1"
+    ).select("block_id", block_faults().alias("faults"))
+)
 query("report_faults", "SELECT DISTINCT report_id, total_chars < 0 OR printable_chars < 0 OR corrupted_chars < 0 OR NOT coalesce(readable_ratio BETWEEN 0 AND 1, true) OR NOT coalesce(corruption_ratio BETWEEN 0 AND 1, true) AS faulty FROM quality_reports")(
     lambda s, d: table(s, d, "quality_reports").select("report_id", (F.size(report_faults()) > 0).alias("faulty")).distinct()
 )
@@ -540,6 +669,43 @@ query("result_faults", "SELECT DISTINCT result_id, NOT (pages_processed >= 0 AND
     lambda s, d: table(s, d, "extraction_results").select("result_id", (F.size(result_faults()) > 0).alias("faulty")).distinct()
 )
 
+# --- reading, writing, options
+
+query("progress", "SELECT DISTINCT page_number, total_pages, round_even(0.15::DOUBLE + 0.5::DOUBLE * page_number / greatest(total_pages, 1), 4) AS done FROM blocks JOIN structures USING (doc_id)")(
+    lambda s, d: table(s, d, "blocks").select("doc_id", "page_number").join(table(s, d, "structures").select("doc_id", "total_pages"), "doc_id").select("page_number", "total_pages").distinct().withColumn("done", progress(F.col("page_number"), F.col("total_pages")))
+)
+query("with_newline", f"WITH {_B}, x AS (SELECT block_id, CASE WHEN block_id % 3 = 0 THEN raw_text || chr(10) WHEN block_id % 7 = 0 THEN NULL ELSE raw_text END AS t FROM b) SELECT block_id, CASE WHEN ends_with(coalesce(t, ''), chr(10)) THEN t ELSE coalesce(t, '') || chr(10) END AS t FROM x")(
+    lambda s, d: distinct_blocks(s, d).selectExpr("block_id", "case when block_id % 3 = 0 then raw_text || '\n' when block_id % 7 = 0 then null else raw_text end t").select("block_id", with_newline(F.col("t")).alias("t"))
+)
+_NAMES = "CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '<memory>' WHEN 2 THEN 'in/' || doc_id || '.tar.pdf' ELSE source_path END"
+query(
+    "output_paths",
+    rf"""WITH x AS (SELECT DISTINCT doc_id, {_NAMES} AS p FROM structures), y AS (SELECT doc_id, coalesce(nullif(CASE WHEN p = '<memory>' THEN '' ELSE regexp_replace(regexp_extract(p, '([^/\\]*)[/\\]*$', 1), '\.[^.]*$', '') END, ''), 'output') AS s FROM x)
+    SELECT doc_id, 'out/' || s || '.md' AS markdown_path, 'out/' || s || '.html' AS html_path FROM y""",
+)(lambda s, d: table(s, d, "structures").selectExpr("doc_id", f"{_NAMES} p").distinct().select("doc_id", *target_paths(F.col("p"), "out")))
+query(
+    "normal_formats",
+    """WITH x AS (SELECT DISTINCT result_id, CASE WHEN html_path IS NULL THEN ' .MD,markdown ,md' WHEN result_id % 3 = 0 THEN 'pdf, HTML' ELSE ' HTML ,.html5,html,' END AS f FROM extraction_results),
+    y AS (SELECT result_id, list_filter(list_transform(string_split(f, ','), lambda z: ltrim(lower(trim(z)), '.')), lambda z: z <> '') AS f FROM x)
+    SELECT result_id, list_filter(f, lambda z, i: list_position(f, z) = i) AS formats, len(list_filter(f, lambda z: z NOT IN ('md', 'markdown', 'html', 'html5'))) = 0 AS known FROM y""",
+)(
+    lambda s, d: table(s, d, "extraction_results").selectExpr("result_id", "case when html_path is null then ' .MD,markdown ,md' when result_id % 3 = 0 then 'pdf, HTML' else ' HTML ,.html5,html,' end f").distinct().select("result_id", normal_formats(F.col("f")).alias("formats"), formats_known(F.col("f")).alias("known"))
+)
+_CODES = "CASE doc_id % 6 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 5 WHEN 3 THEN 6 ELSE NULL END"
+
+
+def decoded_files(s: SparkSession, d: str) -> DataFrame:
+    """Documents as a decoder would report on their files: errors, permissions, encryption."""
+    return table(s, d, "structures").selectExpr("doc_id", "source_path", "total_pages n_pages", "doc_id % 4 = 2 is_encrypted", "doc_id % 6 = 2 needs_password", "doc_id % 9 = 0 is_repaired", "cast(doc_id % 64 as int) permissions", "title", "cast(null as string) author", "'PDF 1.7' format", f"{_CODES} error_code", f"case when {_CODES} is null then null else 'code ' || {_CODES} end error").distinct()
+
+
+query(
+    "inspected",
+    f"""SELECT DISTINCT doc_id, source_path, total_pages AS n_pages, doc_id % 4 = 2 AS is_encrypted, doc_id % 6 = 2 AS needs_password, doc_id % 9 = 0 AS is_repaired, CAST(doc_id % 64 AS INTEGER) AS permissions, (doc_id % 64) // 4 % 2 = 1 AS can_print, (doc_id % 64) // 16 % 2 = 1 AS can_copy,
+    coalesce(title, '') AS title, '' AS author, 'PDF 1.7' AS format, {_CODES} IS NULL AS is_valid, {_CODES} AS error_code, CASE WHEN {_CODES} IS NULL THEN NULL ELSE 'code ' || {_CODES} END AS error FROM structures""",
+)(lambda s, d: pdf.inspect(decoded_files(s, d)))
+query("validated", f"SELECT DISTINCT doc_id, source_path FROM structures WHERE {_CODES} IS NULL")(lambda s, d: pdf.validate(decoded_files(s, d).where("error_code is null")).select("doc_id", "source_path"))
+
 # --- the whole pipeline
 
 
@@ -554,13 +720,46 @@ def page_words(s: SparkSession, d: str) -> DataFrame:
 
 def decoded_tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
     """The tables a decoder would give, made of blocks: native text, its words, links, tables, and OCR words."""
-    b = distinct_blocks(s, d)
+    b = cut(distinct_blocks(s, d))
     docs = table(s, d, "structures").groupBy("doc_id").agg(F.min("source_path").alias("source_path"), F.max("total_pages").alias("n_pages"))
     raw = b.where("block_type <> 'table'").select("doc_id", "page_number", F.col("block_id").alias("block_no"), F.lit(0).alias("kind"), "x0", "y0", "x1", "y1", F.col("raw_text").alias("text"))
     tabs = b.where("block_type = 'table'").select("doc_id", "page_number", F.col("block_ord").alias("table_no"), "x0", "y0", "x1", "y1", F.col("raw_text").alias("markdown"))
     return {"documents": docs, "pages": pages(s, d), "blocks_raw": raw, "tables_raw": tabs, "words_raw": page_words(s, d), "links_raw": box_words(s, d)[1], "ocr_words": ocr_words(s, d)}
 
 
+_CLEAN_NATIVE = f"nc AS (SELECT block_id, raw_text FROM b WHERE block_type <> 'table' AND {_strip('raw_text')} <> '' AND block_id IN (SELECT block_id FROM ta)), {_dehyphenated('nd', 'nc', 'block_id', _clean('raw_text'))}"
+_TABLE_ANTI = "ta AS (SELECT block_id FROM b WHERE block_type <> 'table' AND NOT EXISTS (SELECT 1 FROM b t WHERE t.block_type = 'table' AND {strip} <> '' AND t.doc_id = b.doc_id AND t.page_number = b.page_number AND (b.x0 + b.x1) / 2 BETWEEN round_even(t.x0, 2) AND round_even(t.x1, 2) AND (b.y0 + b.y1) / 2 BETWEEN round_even(t.y0, 2) AND round_even(t.y1, 2)))".replace("{strip}", _strip("t.raw_text"))
+_BOX2 = ", ".join(f"round_even({c}, 2) AS {c}" for c in ("x0", "y0", "x1", "y1"))
+_NATIVE_SQL = f"""{_TABLE_ANTI}, {_CLEAN_NATIVE},
+nb AS (SELECT doc_id, page_number, block_id AS block_no, false AS is_table, raw_text, {_strip(_consolidated('t'))} AS normalized_text, {_BOX2} FROM b JOIN nd USING (block_id)
+  UNION ALL SELECT doc_id, page_number, block_ord + 524288, true, {_strip('raw_text')}, {_strip('raw_text')}, {_BOX2} FROM b WHERE block_type = 'table' AND {_strip('raw_text')} <> '')"""
+
+
+def plain_tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """decoded_tables without words and links; OCR words of later blocks stand lower on the page, so that the order of stacks is transitive."""
+    t = decoded_tables(s, d)
+    t["ocr_words"] = t["ocr_words"].withColumn("top", F.col("top") + F.col("par_num") * 20000)
+    return {k: v for k, v in t.items() if k not in ("words_raw", "links_raw")}
+
+
+query("native_blocks", f"WITH RECURSIVE {_B}, {_NATIVE_SQL} SELECT * FROM nb")(lambda s, d: Pipeline().native_blocks(plain_tables(s, d)))
+_OCR_SQL = rf"""{_WORDS}, v AS (SELECT * EXCLUDE (text), {_strip('text')} AS text FROM words WHERE {_strip('text')} <> '' AND conf <> -1),
+g AS (SELECT doc_id, page_number, block_num, par_num, line_num, string_agg(text, ' ' ORDER BY idx, text) AS line, min(idx) AS i, min(l) AS x0, min(t) AS y0, max(l + w) AS x1, max(t + h) AS y1 FROM v GROUP BY ALL),
+po AS (SELECT doc_id, page_number, min(i) AS block_no, string_agg(line, chr(10) ORDER BY line_num) AS raw_text, min(x0) AS x0, min(y0) + par_num * 20000 AS y0, max(x1) AS x1, max(y1) + par_num * 20000 AS y1 FROM g GROUP BY doc_id, page_number, block_num, par_num),
+{_dehyphenated('od', 'po', 'doc_id, block_no', _clean('raw_text'))},
+ob AS (SELECT doc_id, page_number, CAST(block_no AS BIGINT) AS block_no, false AS is_table, raw_text, {_strip(_consolidated('t'))} AS normalized_text, {", ".join(f"round_even({c} / (300 / 72.0::DOUBLE), 2) AS {c}" for c in ("x0", "y0", "x1", "y1"))} FROM po JOIN od USING (doc_id, block_no))"""
+query("ocr_blocks", f"WITH RECURSIVE {_B}, {_OCR_SQL} SELECT * FROM ob")(lambda s, d: Pipeline().ocr_blocks(plain_tables(s, d)))
+_STRATEGY = "CASE WHEN corruption_ratio > 0.15 OR solid_chars < 30 OR readable_ratio < 0.8 THEN 'ocr_fallback' ELSE 'native_text' END"
+query(
+    "pipeline_plain",
+    f"""{_QUALITY.strip().replace("WITH b AS", "WITH RECURSIVE b AS", 1)}, str AS (SELECT dc.doc_id, coalesce({_STRATEGY}, 'ocr_fallback') AS strategy FROM dc LEFT JOIN x USING (doc_id)), {_NATIVE_SQL}, {_OCR_SQL},
+    bx AS (SELECT nb.* FROM nb JOIN str USING (doc_id) WHERE strategy = 'native_text' UNION ALL SELECT ob.* FROM ob JOIN str USING (doc_id) WHERE strategy = 'ocr_fallback'), {_ordered('bx')},
+    pl AS (SELECT doc_id, page_number::BIGINT * 1048576 + page_ord AS block_ord, row_number() OVER () AS block_id, is_table, coalesce(nullif(normalized_text, ''), raw_text, '') AS raw_text FROM bx JOIN lo USING (doc_id, page_number, block_no)),
+    sh AS (SELECT block_id, doc_id, block_ord, raw_text FROM pl), {_CLASSED}, {_SMOOTH.replace("sm AS (", "s0 AS (", 1)},
+    sm AS (SELECT s0.block_id, s0.doc_id, s0.block_ord, s0.raw_text, CASE WHEN is_table THEN 'table' ELSE s0.block_type END AS block_type, CASE WHEN is_table THEN 0 ELSE s0.heading_level END AS heading_level FROM s0 JOIN pl USING (block_id)), {_ISLANDS}, {_MARKDOWN}
+    SELECT dc.doc_id, any_value(s.source_path) AS source_path, any_value(str.strategy) AS strategy, any_value(n_pages) AS total_pages, coalesce(any_value(md.markdown), '') AS markdown
+    FROM dc JOIN (SELECT doc_id, min(source_path) AS source_path FROM structures GROUP BY doc_id) s USING (doc_id) JOIN str USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(m, chr(10) || chr(10) ORDER BY o) FILTER (m <> '') AS markdown FROM pt GROUP BY doc_id) md USING (doc_id) GROUP BY dc.doc_id""",
+)(lambda s, d: Pipeline(formats=("md",)).run(plain_tables(s, d)))
 query("pipeline")(lambda s, d: Pipeline(formats=("md",)).run(decoded_tables(s, d)))
 query("pipeline_html")(lambda s, d: Pipeline(formats=("md", "html")).run(decoded_tables(s, d)))
 

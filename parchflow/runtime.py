@@ -79,12 +79,17 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str,
     return df.mapInArrow(run, schema)
 
 
+def where_needed(c: Column, needed: Column, fn: Callable[[str], str]) -> Column:
+    """fn of the texts that need it; of the others only nulls go to Python."""
+    return F.coalesce(string_udf(fn)(F.when(needed, c)), c)
+
+
 def string_udf(fn: Callable[[str | None], str | None]) -> Callable[[Column], Column]:
-    """An Arrow function of one string column; the package is sent to the executors of the active session."""
+    """An Arrow function of one string column, null for null; the package is sent to the executors of the active session."""
     if (spark := SparkSession.getActiveSession()) is not None:
         ship(spark)
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(fn)
+        return pd.Series([None if t is None else fn(t) for t in s], dtype=object)
 
     return pandas_udf(run, StringType())

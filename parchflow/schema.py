@@ -14,6 +14,7 @@ TABLES_RAW = "doc_id long, page_number int, table_no int, x0 double, y0 double,
 WORDS_RAW = "doc_id long, page_number int, block_no int, line_no int, word_no int, x0 double, y0 double, x1 double, y1 double, word string"
 LINKS_RAW = "doc_id long, page_number int, link_no int, x0 double, y0 double, x1 double, y1 double, uri string"
 OCR_WORDS = "doc_id long, page_number int, idx int, block_num int, par_num int, line_num int, left int, top int, width int, height int, conf double, text string"
+OCR_TEXT = "doc_id long, page_number int, x0 double, y0 double, x1 double, y1 double, text string"
 DOCUMENTS = "doc_id long, source_path string, n_pages int"
 
 

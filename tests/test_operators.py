@@ -1,12 +1,15 @@
 """Operators on small tables: quality, OCR words, layout, links, context, Markdown, sinks, pipeline, streaming; nulls, ties, empty tables."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parchflow import options, schema, sinks
+from parchflow import exporters, options, schema, sinks
 from parchflow.operators import blocks as B
 from parchflow.operators import engines, layout, links, ocr, quality, sequences
+from parchflow.options import ReaderMissingError, formats_known, normal_formats, target_paths
 from parchflow.plans.pipeline import Pipeline, progress
 from parchflow.sources import engine, pdf
 from parchflow.streaming import blocks as S
@@ -135,7 +138,7 @@ def test_engines(spark):
     assert not engine.diagnose("/nowhere/tesseract").is_available and "spark" in engine.info()
 
 
-def test_options():
+def test_options(spark):
     assert options.parse_formats(["md,HTML", ".md"]) == ("md", "html") and options.parse_formats(None) == ("md", "html")
     with pytest.raises(options.InvalidOptionError):
         options.export_formats(["docx"])
@@ -143,7 +146,7 @@ def test_options():
         Pipeline(dpi=0)
     assert options.output_targets("/a/b.pdf", None, None) == ("b.md", "b.html") and options.output_targets("/a/b.pdf", "/o/x.txt", None) == ("/o/x.md", "/o/x.html")
     assert options.output_targets(b"..", "/o/", None) == ("/o/output.md", "/o/output.html") and options.output_stem(None, "c.pdf") == "c"
-    assert [progress(p, 4) for p in (1, 2, 3, 4)] == [0.275, 0.4, 0.525, 0.65]
+    assert [r[0] for r in spark.range(1, 5).select(progress(F.col("id"), F.lit(4))).collect()] == [0.275, 0.4, 0.525, 0.65]
 
 
 def test_sinks(spark, tmp_path):
@@ -186,7 +189,7 @@ def test_streaming(spark, tmp_path, sf):
     src.repartition(2).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
     S.write_markdown(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == src.select("doc_id").distinct().count()
+    assert S.read_markdown(spark, str(tmp_path / "out")).count() == src.select("doc_id").distinct().count()
     assert S.cleaned(stream).isStreaming and S.arrivals(stream).isStreaming
 
 
@@ -196,3 +199,81 @@ def test_row_checks(spark):
     assert schema.valid(df, schema.block_faults()).count() == 1
     with pytest.raises(Exception, match="invalid row"):
         schema.require(df, schema.block_faults()).collect()
+
+
+def stub(content, password="", ocr=False, dpi=300, **_):
+    """A reader of texts: a file of "scan" has no text layer, only what OCR sees; one of "bad" is corrupt."""
+    t = bytes(content).decode()
+    if t.startswith("bad"):
+        return {"error_code": 4, "error": "corrupt"}
+    if t.startswith("scan"):
+        page = {"pages": [(1, True, "")], "n_pages": 1}
+        return page | {"ocr_words": [(1, i, 0, 0, 0, 10 * i, 0, 9, 9, 90.0, w) for i, w in enumerate(t.split()[1:])]} if ocr else page
+    return {"pages": [(1, False, t)], "n_pages": 1, "blocks": [] if ocr else [(1, 0, 0, 0.0, 0.0, 9.0, 9.0, t)]}
+
+
+def test_scanned_files_are_read_by_ocr_unasked(spark, tmp_path):
+    for name, t in (("a", "The text layer of this file holds more than thirty characters."), ("b", "scan words that only the engine sees"), ("c", "bad")):
+        (tmp_path / f"{name}.pdf").write_text(t)
+    told = []
+    p = Pipeline(formats=("md",), listener=lambda stage, done: told.append((stage, done)))
+    rows = {r.source_path[-5:]: r for r in p.convert(str(tmp_path), str(tmp_path / "out"), spark=spark, reader=stub).collect()}
+    read = lambda r: Path(r.markdown_path).read_text()
+    assert read(rows["a.pdf"]).startswith("The text layer") and rows["a.pdf"].strategy == "native_text" and read(rows["b.pdf"]) == "words that only the engine sees\n"
+    assert rows["b.pdf"].strategy == "ocr_fallback" and rows["c.pdf"].error == "corrupt" and rows["c.pdf"].markdown_path is None and rows["a.pdf"].pages_processed == 1
+    assert [s for s, _ in told] == ["opening", "detecting", "extracting", "exporting", "finished"] and all(r.execution_time_seconds > 0 for r in rows.values())
+    one = p.convert(b"scan from memory", str(tmp_path / "mem"), spark=spark, reader=stub).first()
+    assert one.source_path == "<memory>" and read(one) == "from memory\n"
+    with pytest.raises(Exception, match="corrupt"):
+        pdf.validate(pdf.decode(pdf.files(spark, str(tmp_path)), reader=stub)).collect()
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "a.pdf").write_text("Some text")
+    with pdf.PdfReader(spark, str(tmp_path / "a.pdf"), reader=stub) as r:
+        assert r.is_valid() and r.inspect().first().n_pages == 1 and r.tables()["blocks_raw"].count() == 1 and not r.is_closed
+    assert r.is_closed and not pdf.PdfReader(spark, b"bad", reader=stub).is_valid()
+    assert pdf._as_far_as_possible(x if x < 2 else 1 / 0 for x in range(5)) == [0, 1]
+
+
+def test_engine_reports():
+    assert engine.version_in("tesseract v5.3.1\n leptonica") == "5.3.1" and engine.version_in("\nother 2\n") == "other 2" and engine.version_in("") is None
+    assert engine.languages_in("List of available languages (2):\nrus\neng\neng\nchi_sim\n") == ["chi_sim", "eng", "rus"]
+    e = engine.Engine("/nowhere/engine")
+    assert e.binary is None and e.fault(["eng"]) == "no binary found" and e.lacks(["eng", "eng"]) == ["eng"]
+    with pytest.raises(ReaderMissingError):
+        engine.require(["eng"], "/nowhere/engine")
+
+
+def test_late_blocks_give_a_document_anew(spark, tmp_path):
+    ddl = "block_id long, doc_id long, block_ord long, raw_text string, normalized_text string, arrived_at timestamp"
+    for n, rows in enumerate(([(1, 1, 0, "# One", None, None), (2, 2, 0, "two", None, None)], [(3, 1, 1, "late", None, None), (1, 1, 0, "# One", None, None)])):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
+        S.write_markdown(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        got = {r.doc_id: r.markdown for r in S.read_markdown(spark, str(tmp_path / "out")).collect()}
+        assert got == {1: "# One" if n == 0 else "# One\n\nlate", 2: "two"}
+
+
+def test_options_as_columns(spark):
+    d = spark.createDataFrame([("a/b.c.pdf",), ("<memory>",), (None,), ("",)], "s string")
+    assert [tuple(r) for r in d.select(*target_paths(F.col("s"), "o/")).collect()] == [("o/b.c.md", "o/b.c.html"), *[("o/output.md", "o/output.html")] * 3]
+    f = spark.createDataFrame([(" .MD, html,md",), ("pdf",), (None,)], "f string")
+    assert [tuple(r) for r in f.select(normal_formats(F.col("f")), formats_known(F.col("f"))).collect()] == [(["md", "html"], True), (["pdf"], False), ([], True)]
+
+
+def test_exporters(spark, tmp_path):
+    blocks = spark.createDataFrame([(1, 0, "heading", 2, "Title", None), (1, 1, "paragraph", 0, "Text", None)], "doc_id long, block_ord long, block_type string, heading_level int, raw_text string, normalized_text string")
+    m = exporters.MarkdownExporter(tmp_path)
+    assert m.export(blocks, "a").read_text() == "## Title\n\nText\n" and m.export("x", source="in/b.pdf") == tmp_path / "b.md" and m.export("x", "sub/", filename="c.txt") == tmp_path / "sub" / "c.md"
+    assert m.export("x", "a.txt") == tmp_path / "a.txt" and m.export("x", tmp_path, source="<memory>") == tmp_path / "output.md"
+    with pytest.raises(ValueError):
+        m.export("x")
+    with pytest.raises(TypeError):
+        m.export(3, "d")
+    with pytest.raises(options.DestinationExistsError):
+        exporters.MarkdownExporter(tmp_path, overwrite=False).export("x", "a")
+    h = exporters.HtmlExporter(tmp_path, lang="en", extra_css="p { color: red }")
+    assert h.compile_body("# a") == "<h1>a</h1>"
+    page = h.export(blocks, source="in/<b>.pdf").read_text()
+    assert "<title>&lt;b&gt;</title>" in page and "<h2>Title</h2>" in page and 'lang="en"' in page and "color: red" in page and "<title>T</title>" in h.compile("x", title="T") and "Documento" in h.compile("x")
