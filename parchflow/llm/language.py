@@ -27,6 +27,7 @@ SAMPLE_BLOCKS, SAMPLE_CHARS = 1_500, 20_000  # training blocks of a language, an
 BUCKETS = 8192  # of hashed trigrams
 CLUSTERS, ROUNDS = 3, 8
 REJECT = 0.10  # cosine below which a sentence has no language
+MARGIN = 0.12  # of the cosine: a sentence no nearer than that to one language than to the next has none
 MIN_WORDS = 6
 
 # Notations of languages: three-letter code, two-letter code, English name.
@@ -173,7 +174,7 @@ class Model:
         top = best.argmax(1)
         c = best[np.arange(s.n), top]
         second = np.partition(best, -2, axis=1)[:, -2] if len(langs) > 1 else np.zeros(s.n)
-        return np.where(c >= REJECT, top, -1), c, c - second
+        return np.where((c >= REJECT) & (c - second >= MARGIN * c), top, -1), c, c - second
 
 
 def _mean(s: Sentences, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
