@@ -4,23 +4,24 @@ Two character n-gram models are fitted: one of residue (unfilled slots, prompts
 messages and notices), one of content (prose, code, output). Their log-likelihood ratio over windows of a line
 localises residue; a notebook is excluded if the residue covers all that stands where content should.
 
-The models are counts of n-grams in BUCKETS hashed buckets, fitted once on at most about SAMPLE_DOCS notebooks, whole, chosen by hash of their
-id: first from SEEDS and lines labelled by rule, then again from the lines of the notebooks that the first model finds to be residue
-or content. Counting is distributed; only the buckets come back. All notebooks are scored, whole.
+The models are counts of n-grams in BUCKETS hashed buckets, fitted on all notebooks, whole: first from SEEDS and lines labelled by rule,
+then again from the lines of the notebooks that the first model finds to be residue or content. Counting is distributed: a task sends one
+vector of counts, and only their sum comes back. All notebooks are scored, whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchflow.runtime import arrow_map
+from parchflow.runtime import arrow_map, ship
 
-SAMPLE_DOCS = 4_000
 BITS = 20
 BUCKETS = 1 << BITS
 N, WINDOW, COVERAGE = 4, 48, 0.75
@@ -93,38 +94,58 @@ def units(text: str, kind: str | None) -> list[tuple[str, str]]:
     return out
 
 
-_SLOT_MARKS = re.compile(r"[{<%\[@]|__")
+_SLOT_MARKS = re.compile(r"\$\{|\{[{%A-Za-z_]|<[%<a-z]|\[[A-Zyia\[]|@@|%[(A-Za-z_]|__")  # a slot holds one of these
+
+
+def slotted(line: str) -> bool:
+    """Whether a line holds a slot."""
+    return bool(_SLOT_MARKS.search(line) and SLOT.search(line))
+
+
+#: A run of encoded data, as of an embedded image. Its n-grams are as many as there are data: they would fill the buckets, each too rare to be known as content.
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])[A-Za-z0-9+/]{64,}={0,2}")
 
 
 def shape(line: str) -> str:
-    """A line as the models read it: slots and digits are one character each, case is kept, ends are marked."""
+    """A line as the models read it: slots and digits are one character each, as are those of encoded data, case is kept, ends are marked."""
+    if len(line) >= 64:
+        line = ENCODED.sub(lambda m: "\x04" * len(m[0]), line)
     if _SLOT_MARKS.search(line):
         line = SLOT.sub("\x02\x02\x02\x02", line)
     return f"\x01{line}\x03"
 
 
+#: Characters hashed at a time, and characters of lines taken together: so arrays stay in the cache.
+BLOCK, CHARS = 1 << 15, 1 << 18
+
+
 class Grams:
     """Bucket of each n-gram of some lines, in one array, and where lines begin; every line has at least one."""
 
     def __init__(self, lines: list[str]):
         shapes = [x if len(x) >= N else x.ljust(N, "\x03") for x in map(shape, lines)]
-        n = np.fromiter(map(len, shapes), np.int64, len(shapes)) - (N - 1)
-        code = np.frombuffer("".join(shapes).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        code = np.where((code >= 48) & (code <= 57), np.uint64(48), code)
-        self.size = n
-        self.start = np.concatenate(([0], np.cumsum(n)))
-        if not len(shapes):
-            self.bucket = np.empty(0, np.int64)
-            return
-        with np.errstate(over="ignore"):
-            h = code[: len(code) - N + 1].copy()
+        length = np.fromiter(map(len, shapes), np.int64, len(shapes))
+        code = np.frombuffer("".join(shapes).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.size = length - (N - 1)
+        self.start = np.cumsum(length) - length
+        self.hashed = np.empty(max(0, len(code) - N + 1), np.int32)  # with those that run into the next line
+        for i in range(0, len(self.hashed), BLOCK):
+            part = code[i : i + BLOCK + N - 1].astype(np.uint64)
+            part[part - np.uint64(48) <= 9] = 48
+            m = len(part) - N + 1
+            h = part[:m].copy()
             for k in range(1, N):
-                h = h * np.uint64(0x100000001B3) + code[k : len(code) - N + 1 + k]
-            h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
-        whole = np.ones(len(h), bool)  # not those that run into the next line
+                h *= np.uint64(0x100000001B3)
+                h += part[k : k + m]
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            self.hashed[i : i + m] = h >> np.uint64(64 - BITS)
+
+    @property
+    def bucket(self) -> np.ndarray:
+        whole = np.ones(len(self.hashed), bool)
         for k in range(1, N):
-            whole[self.start[1:-1] + (N - 1) * np.arange(len(n) - 1) + k - 1] = False
-        self.bucket = h[whole].astype(np.int64)
+            whole[self.start[1:] - k] = False
+        return self.hashed[whole]
 
 
 class Model:
@@ -135,16 +156,22 @@ class Model:
         size = int(seen.sum()) + 1
         a, b = 0.02, 0.2
         r, c = residue.sum() + a * size, content.sum() + b * size
-        self.ratio = np.where(seen, np.log((residue + a) / r) - np.log((content + b) / c), 0.0).astype(np.float32)
+        ratio = np.where(seen, np.log((residue + a) / r) - np.log((content + b) / c), 0.0)
+        self.ratio = (np.round(ratio * 2**16) / 2**16).astype(np.float32)  # so sums are exact and don't hang on what is summed before
+
+    def _sums(self, g: Grams) -> np.ndarray:
+        out = np.zeros(len(g.hashed) + 1)
+        np.cumsum(self.ratio[g.hashed], dtype=np.float64, out=out[1:])
+        return out
 
     def windows(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(characters in residue windows, all characters) of each line."""
         g = Grams(lines)
-        total = np.concatenate(([0.0], np.cumsum(self.ratio[g.bucket], dtype=np.float64)))
+        total = self._sums(g)
         parts = -(-g.size // WINDOW)
         line = np.repeat(np.arange(len(g.size)), parts)
         i = (np.arange(len(line)) - np.repeat(np.cumsum(parts) - parts, parts)) * WINDOW
-        n, at = g.size[line], g.start[:-1][line]
+        n, at = g.size[line], g.start[line]
         lo, hi = np.maximum(0, np.minimum(i, n - WINDOW)), np.minimum(i + WINDOW, n)
         bad = (total[at + hi] - total[at + lo]) > 0
         return np.bincount(line, weights=np.where(bad, hi - i, 0), minlength=len(lines)), g.size.astype(float)
@@ -152,8 +179,8 @@ class Model:
     def score(self, lines: list[str]) -> np.ndarray:
         """The log-likelihood ratio of each line."""
         g = Grams(lines)
-        total = np.concatenate(([0.0], np.cumsum(self.ratio[g.bucket], dtype=np.float64)))
-        return total[g.start[1:]] - total[g.start[:-1]]
+        total = self._sums(g)
+        return total[g.start + g.size] - total[g.start]
 
 
 FUNCTION_WORDS = frozenset(
@@ -165,6 +192,20 @@ def counts(lines: list[str]) -> np.ndarray:
     return np.bincount(Grams(lines).bucket, minlength=BUCKETS)
 
 
+def spans(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Where to divide texts so that those taken together have about CHARS characters; no text is divided."""
+    begin = size = 0
+    for i, t in enumerate(texts, 1):
+        size += len(t or "")
+        if size >= CHARS or i == len(texts):
+            yield begin, i
+            begin, size = i, 0
+
+
+def flat(lists: Iterable[list[str]]) -> list[str]:
+    return [x for lines in lists for x in lines]
+
+
 def seeds() -> list[str]:
     return [s for line in SEEDS.strip().split("\n") for s in line.split("|")]
 
@@ -173,38 +214,63 @@ def by_rule(us: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
     """(lines of filler, lines of content) of a notebook, by rule: text in sentences without a function word is filler; code, and text with function words, is content, with the lines around it that hold slots."""
     filler, content, slots = [], [], []
     for role, x in us:
-        if role not in ("code", "text"):
-            continue
-        ws = TOKEN.findall(x)
-        known = sum(w.lower() in FUNCTION_WORDS for w in ws)
-        if role == "text" and len(ws) >= 6 and x[-1] in ".!?" and not known and not re.search(r"\d|[a-z]\s+[A-Z]", x):
-            filler.append(x)
-        elif SLOT.search(x):
-            if role == "text":
+        if role == "code":
+            if not slotted(x):
+                content.append(x)
+        elif role == "text":
+            ws = TOKEN.findall(x)
+            known = sum(w in FUNCTION_WORDS for w in map(str.lower, ws))
+            if len(ws) >= 6 and x[-1] in ".!?" and not known and not re.search(r"\d|[a-z]\s+[A-Z]", x):
+                filler.append(x)
+            elif slotted(x):
                 slots.append(x)
-        elif role == "code" or (known >= 2 and len(ws) >= 6):
-            content.append(x)
+            elif known >= 2 and len(ws) >= 6:
+                content.append(x)
     return filler, content + slots if content else []
 
 
-def _counted(sample: DataFrame, pick) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of (residue, content) lines of all notebooks of a sample, pick giving both of one."""
+#: Buckets in a row of the sums that tasks send.
+SLOT_SIZE = 1 << 12
 
-    def run(b: dict) -> dict:
-        both = [[], []]
-        for t, k in zip(b["text"], b["nb_format"]):
-            for lines, new in zip(both, pick(units(t, k))):
-                lines.extend(new)
-        out: dict[str, list] = {"g": [], "r": [], "c": []}
-        r, c = counts(both[0]), counts(both[1])
-        at = np.flatnonzero(r + c)
-        return {"g": at.tolist(), "r": r[at].tolist(), "c": c[at].tolist()} if len(at) else out
-
-    rows = arrow_map(sample, run, "g int, r long, c long").groupBy("g").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    out = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for g, r, c in rows.collect():  # a row per bucket at most
-        out[0][g], out[1][g] = r, c
-    return out
+
+def _rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """(slot, counts) of both models, in integers no wider than they need be."""
+    packed = [x.astype(np.min_scalar_type(int(x.max()))).tobytes() for x in sums.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["slot", "n"])
+
+
+def _unpacked(n: bytes) -> np.ndarray:
+    return np.frombuffer(n, f"u{len(n) // (2 * SLOT_SIZE)}").reshape(2, SLOT_SIZE).astype(np.int64)
+
+
+def _counted(documents: DataFrame, pick: Callable[[list[list[tuple[str, str]]]], tuple[list[str], list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by bucket of two kinds of lines of all documents (text, nb_format), pick giving both kinds from the units of some documents."""
+    ship(documents.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            texts, kinds = (batch.column(i).to_pylist() for i in (0, 1))
+            for i, j in spans(texts):
+                for total, lines in zip(sums, pick([units(t, k) for t, k in zip(texts[i:j], kinds[i:j])])):
+                    if lines:
+                        np.add.at(total, Grams(lines).bucket, 1)
+        by_slot = sums.reshape(2, -1, SLOT_SIZE)
+        yield _rows({k: by_slot[:, k] for k in np.flatnonzero(by_slot.any(axis=(0, 2))).tolist()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[k] = sums.get(k, 0) + _unpacked(n.as_py())
+        yield _rows(sums)
+
+    schema = "slot int, n binary"
+    rows = documents.where("text is not null").select("text", "nb_format").mapInArrow(count, schema).repartition("slot").mapInArrow(add, schema)
+    out = np.zeros((2, BUCKETS // SLOT_SIZE, SLOT_SIZE))
+    for k, n in rows.collect():  # a row per slot at most
+        out[:, k] = _unpacked(bytes(n))
+    return out[0].ravel(), out[1].ravel()
 
 
 #: A line whose log-likelihood ratio is above this is no example of content.
@@ -212,32 +278,35 @@ MARGIN = 12
 
 
 def fit(documents: DataFrame) -> Model:
-    """Fit on a sample of documents (text, nb_format), in two rounds."""
-    sample = sampled(documents)
+    """Fit on all documents (text, nb_format), in two rounds."""
     own = counts(seeds()).astype(float)
-    filler, content = _counted(sample, by_rule)
-    weigh = lambda x: x * (own.sum() / max(x.sum(), own.sum()))  # noqa: E731  (no more weight than the seeds have)
-    first = Model(own, content)
-
-    def again(us: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
-        body = body_of(us)
-        if not body:
-            return [], []
-        x = first.score(body)
-        _, ruled = by_rule(us)
-        if not ruled and (x > 0).all():
-            return body, []
-        ok = set(ruled)
-        return [], [t for t, v in zip(body, x) if t in ok and v <= MARGIN]
-
-    found, content = _counted(sample, again)
-    return Model(own + weigh(filler) + weigh(found), content)
 
+    def ruled(docs: list[list[tuple[str, str]]]) -> tuple[list[str], list[str]]:
+        both = [by_rule(us) for us in docs]
+        return flat(x for x, _ in both), flat(x for _, x in both)
 
-def sampled(documents: DataFrame) -> DataFrame:
-    """At most about SAMPLE_DOCS notebooks, chosen by hash of their id, so that the choice doesn't hang on the order of rows; whole texts."""
-    every = max(1, -(-documents.count() // SAMPLE_DOCS))
-    return documents.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(every)) == 0)).select("text", "nb_format")
+    filler, content = _counted(documents, ruled)
+    weigh = lambda x: x * (own.sum() / max(x.sum(), own.sum()))  # noqa: E731  (no more weight than the seeds have)
+    sent = documents.sparkSession.sparkContext.broadcast(Model(own, content))
+
+    def again(docs: list[list[tuple[str, str]]]) -> tuple[list[str], list[str]]:
+        """Lines of notebooks found to be residue, and lines that are content by rule but no examples of it."""
+        ours = [by_rule(us)[1] for us in docs]
+        lines = [x or body_of(us) for x, us in zip(ours, docs)]
+        found, dropped, at = [], [], 0
+        score = sent.value.score(flat(lines))
+        for content, body in zip(ours, lines):
+            x = score[at : at + len(body)]
+            at += len(body)
+            if content:
+                dropped += [t for t, v in zip(content, x.tolist()) if v > MARGIN or not LEGIBLE.search(t)]
+            elif (x > 0).all():
+                found += body
+        return found, dropped
+
+    found, dropped = _counted(documents, again)
+    sent.unpersist()
+    return Model(own + weigh(filler) + weigh(found), content - dropped)
 
 
 #: So many characters of a line without residue are content of its own.
@@ -248,21 +317,27 @@ LEGIBLE = re.compile(r"\w")
 def body_of(us: list[tuple[str, str]]) -> list[str]:
     """The lines that stand where content should: cell marks, headings and empty stubs do not; where nothing else is, prompts in stubs and slots in headings do."""
     body = [x for r, x in us if r in ("text", "code") and LEGIBLE.search(x)]
-    return body or [x for r, x in us if (PROMPT.search(x) if r == "stub" else SLOT.search(x))]
+    return body or [x for r, x in us if (PROMPT.search(x) if r == "stub" else slotted(x))]
 
 
-def judge(model: Model, text: str | None, kind: str | None) -> tuple[float, bool]:
-    """(share of residue among what stands for content, whether nothing but residue stands there).
+def judged(model: Model, texts: list[str | None], kinds: list[str | None]) -> list[tuple[float, bool]]:
+    """(share of residue among what stands for content, whether nothing but residue stands there) of each text.
 
     All windows are scored. Null or blank text, and text of headings and stubs alone, has share 0 and is kept.
     """
-    body = body_of(units(text, kind)) if text and text.strip() else []
-    if not body:
-        return 0.0, False
-    bad, seen = model.windows(body)
-    share = float(bad.sum() / seen.sum())
-    own = bool((seen - bad >= OWN).any())
-    return share, share >= COVERAGE and not own
+    out = []
+    for i, j in spans(texts):
+        bodies = [body_of(units(t, k)) if t and t.strip() else [] for t, k in zip(texts[i:j], kinds[i:j])]
+        bad, seen = model.windows(flat(bodies))
+        of = np.repeat(np.arange(len(bodies)), [len(x) for x in bodies])
+        total = lambda x: np.bincount(of, weights=x, minlength=len(bodies))  # noqa: B023, E731
+        share = total(bad) / np.maximum(total(seen), 1)
+        out += zip(share.tolist(), ((share >= COVERAGE) & (total(seen - bad >= OWN) == 0)).tolist())
+    return out
+
+
+def judge(model: Model, text: str | None, kind: str | None) -> tuple[float, bool]:
+    return judged(model, [text], [kind])[0]
 
 
 def residue_report(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -271,8 +346,7 @@ def residue_report(documents: DataFrame, model: Model | None = None) -> DataFram
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(b: dict) -> dict:
-        m = sent.value
-        got = [judge(m, t, k) for t, k in zip(b["text"], b["nb_format"])]
+        got = judged(sent.value, b["text"], b["nb_format"])
         return {"doc_id": b["doc_id"], "residue_share": [x for x, _ in got], "exclude": [x for _, x in got]}
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "nb_format").where("doc_id is not null")

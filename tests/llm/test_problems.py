@@ -410,6 +410,29 @@ def test_residue_share_is_of_all_lines(spark, sf):
     assert g.size.tolist() == [1, 13, 1, 199] and len(g.bucket) == 214 and residue.Grams(["y", "Page 503: {{ z }}"]).bucket[1:].tolist() == g.bucket[1:14].tolist()
 
 
+def test_residue_models_are_of_all_notebooks(spark):
+    """Filler that one notebook of thousands holds is known to the model, whatever the notebook's id."""
+    filler = {800 * i + 7: f"Zq{c}xv wk{c}qz vj{c}xq kz{c}wv qx{c}jk jv{c}zw." for i, c in enumerate("bcdfghmnpr")}
+    rows = [(i, filler.get(i, "For this reason, the solution of the problem is in the table."), "percent") for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, nb_format string")
+    m = residue.fit(df)
+    assert all((m.ratio[residue.Grams([x]).bucket] > 0).all() for x in filler.values())
+    assert {r.doc_id for r in residue.residue_only(df).collect()} == set(filler)
+    assert (residue.fit(df.withColumn("doc_id", -F.col("doc_id")).repartition(3)).ratio == m.ratio).all()
+
+
+def test_residue_encoded_data_and_blocks():
+    """Encoded data is one gram, however much of it there is, and its characters stay; no result hangs on how texts are taken together."""
+    image = "data:image/png;base64," + "Zx9+kQ/7Ab" * 20
+    assert residue.shape(image) == "\x01data:image/png;base64," + "\x04" * 200 + "\x03" and "\x04" not in residue.shape("=" * 200 + "a1" * 50 + " " + ENG)
+    lines = [ENG[i : i + 90] for i in range(60)] * 30
+    g = residue.Grams(lines)
+    assert len(g.hashed) > 3 * residue.BLOCK and g.bucket.tolist() == [b for x in lines for b in residue.Grams([x]).bucket.tolist()]
+    m = residue.Model(residue.counts(residue.seeds()).astype(float), residue.counts(lines).astype(float))
+    texts = ["Error 404", None, ENG * 2000, "", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.\n" + ENG, "Coming soon"] * 3
+    assert [j - i for i, j in residue.spans(texts)] == [3, 6, 6, 3] and residue.judged(m, texts, [None] * 18) == [residue.judge(m, t, None) for t in texts]
+
+
 def test_queries_run(spark, sf):
     for name, q in queries.QUERIES.items():
         df = q(spark, sf)
